@@ -69,23 +69,25 @@ def trim_strings(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return replace_columns(df, {c: text.strip(col(c)) for c in string_columns(df, columns)})
 
 
-def _drop_by_null_share(df: DataFrame, too_many) -> DataFrame:
+def sparse_columns(df: DataFrame, above: float, inclusive: bool = False) -> list[str]:
+    """Columns whose null share is above a limit (or at it), from one counting pass."""
     total, nulls = null_counts(df)
-    return drop_columns(df, [c for c, n in nulls.items() if total and too_many(n / total)])
+    shares = {c: n / total for c, n in nulls.items()} if total else {}
+    return [c for c, share in shares.items() if share > above or (inclusive and share == above)]
 
 
 def drop_missing(df: DataFrame, threshold_pct: float = 50) -> DataFrame:
-    """Drop columns with more than this percentage of nulls (one counting pass)."""
-    return _drop_by_null_share(df, lambda share: share * 100 > threshold_pct)
+    """Drop columns with more than this percentage of nulls."""
+    return drop_columns(df, sparse_columns(df, threshold_pct / 100))
 
 
 def drop_high_null(df: DataFrame, threshold: float = 0.8) -> DataFrame:
-    return _drop_by_null_share(df, lambda share: share > threshold)
+    return drop_columns(df, sparse_columns(df, threshold))
 
 
 def keep_low_null(df: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Keep columns strictly below this null share."""
-    return _drop_by_null_share(df, lambda share: share >= threshold)
+    return drop_columns(df, sparse_columns(df, threshold, inclusive=True))
 
 
 def repartition(df: DataFrame, partitions: int = 4) -> DataFrame:

@@ -41,18 +41,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 
 def write_both(df: DataFrame, folder: str, base_name: str, mode: str = "errorifexists") -> dict:
-    """Write Parquet, then CSV from those files: the table is computed once.
-
-    Rows are counted by the write itself.
-    """
+    """Write Parquet, then CSV from those files: the table is computed once."""
     base = f"{folder.rstrip('/')}/{safe_name(base_name)}_cleaned"
-    seen = Observation("written")
-    write_parquet(df.observe(seen, F.count(F.lit(1)).alias("rows")), base + ".parquet", mode)
+    write_parquet(df, base + ".parquet", mode)
     stored = df.sparkSession.read.schema(df.schema).parquet(base + ".parquet")
     write_csv(stored, base + ".csv", mode)
     files = df.sparkSession.read.format("binaryFile").load(base + ".csv").select("path", "length")
     size = files.agg(F.sum("length")).first()[0] or 0
-    return {"csv_path": base + ".csv", "parquet_path": base + ".parquet", "rows": seen.get["rows"],
+    return {"csv_path": base + ".csv", "parquet_path": base + ".parquet", "rows": stored.count(),
             "cols": len(df.columns), "csv_size_kb": round(size / 1024, 1)}
 
 
