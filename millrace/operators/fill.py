@@ -27,13 +27,14 @@ def fit_fill(df: DataFrame, strategy: str = "median", columns: list[str] | None
         _, nulls = null_counts(df, cols)
         cols = [c for c in cols if nulls[c]]
     numeric = [c for c in cols if kinds(df)[c] == NUMERIC]
+    whole = [] if only_missing else _complete_whole(df, numeric)
     others = [c for c in cols if c not in numeric]
     if strategy == "median":
         found = {c: q[0] for c, q in quantiles(df, numeric, [0.5], state_limit).items()}
-        return {**found, **dict.fromkeys(others, UNKNOWN)}
+        return {**_keep_whole(found, whole), **dict.fromkeys(others, UNKNOWN)}
     if strategy == "mean":
         found = measure(df, {c: F.avg(value(df, c).cast("double")) for c in numeric}) if numeric else {}
-        return {**found, **dict.fromkeys(others, UNKNOWN)}
+        return {**_keep_whole(found, whole), **dict.fromkeys(others, UNKNOWN)}
     if strategy == "mode":
         found = modes(df, [c for c in cols if not is_nested(df.schema[c].dataType)])
         return {c: UNKNOWN if v is None else v for c, v in found.items()}
@@ -42,6 +43,16 @@ def fit_fill(df: DataFrame, strategy: str = "median", columns: list[str] | None
     return dict.fromkeys(cols, UNKNOWN)
 
 
+def _complete_whole(df: DataFrame, cols: list[str]) -> list[str]:
+    """Whole-number columns without nulls: they keep their type."""
+    whole = [c for c in cols if is_whole(df.schema[c].dataType)]
+    return [c for c, n in null_counts(df, whole)[1].items() if not n] if whole else []
+
+
+def _keep_whole(found: dict, whole: list[str]) -> dict:
+    return {c: round(v) if c in whole and v is not None else v for c, v in found.items()}
+
+
 def apply_fill(df: DataFrame, fitted: dict, strategy: str = "median") -> DataFrame:
     """Replace nulls by fitted values; a value that is not of the column's type is skipped."""
     new = {}
@@ -50,7 +61,7 @@ def apply_fill(df: DataFrame, fitted: dict, strategy: str = "median") -> DataFra
             continue
         dtype = df.schema[c].dataType
         filled = value(df, c)
-        if strategy in ("median", "mean") and isinstance(dtype, T.NumericType):
+        if strategy in ("median", "mean") and isinstance(dtype, T.NumericType) and not isinstance(v, int):
             new[c] = F.coalesce(filled.cast("double"), F.lit(float(v)))
             continue
         literal = F.lit(v).cast(dtype) if strategy == "mode" and v != UNKNOWN else convert.constant(v, dtype)

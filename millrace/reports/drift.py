@@ -35,7 +35,7 @@ def light_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     rows = []
     for f in df.schema:
         c, numeric = f.name, by_kind[f.name] == NUMERIC
-        ends = [None if got.get((c, m)) is None else float(got[c, m]) for m in ("min", "max", "mean")]
+        ends = [None if got.get((c, m)) is None else float(got[c, m]) + 0.0 for m in ("min", "max", "mean")]
         rows.append((c, f.dataType.simpleString(), NUMERIC if numeric else CATEGORICAL,
                      pct(got[None] - got[c, "n"], got[None]), *ends, unique.get(c)))
     return df.sparkSession.createDataFrame(rows, LIGHT)

@@ -24,7 +24,7 @@ def pct(part: float, whole: float, digits: int = 2) -> float:
 
 
 def _rounded(x, digits: int = 4):
-    return None if x is None else round(float(x), digits)
+    return None if x is None else round(float(x), digits) + 0.0  # no negative zero
 
 
 def column_stats(df: DataFrame, approx: bool = False, state_limit: int = stats.STATE_LIMIT) -> list[dict]:
@@ -130,7 +130,7 @@ def histogram(df: DataFrame, measured: list[dict] | None = None, max_bins: int =
         at = F.least(F.floor((v - lo) / (hi - lo) * n).cast("int"), F.lit(n - 1))
         at = F.when(v < F.lit(lo) + at * F.lit(width), at - 1).when(
             (at < n - 1) & (v >= F.lit(lo) + (at + 1) * F.lit(width)), at + 1).otherwise(at)
-        placed.append(at)
+        placed.append(F.when(v.isNotNull(), at))
     slots = [str(i) for i in range(len(plans))]
     counted = (df.select(*[p.alias(s) for p, s in zip(placed, slots)]).unpivot([], slots, "slot", "bin")
                .filter("bin is not null").groupBy("slot", "bin").count())

@@ -85,7 +85,7 @@ query("log_tail", "SELECT * FROM events WHERE user_id = 7 AND event_id > 500 ORD
 query("catalogue_search", """
     SELECT p_partkey, p_name, p_brand, p_type FROM part
     WHERE p_brand = 'Brand#7' AND (contains(lower(p_name), 'ring') OR contains(lower(p_type), 'ring')
-      OR len(list_filter(string_split(lower(p_name), ' '), x -> contains(x, 'ring'))) > 0)""")(
+      OR len(list_filter(string_split(lower(p_name), ' '), lambda x: contains(x, 'ring'))) > 0)""")(
     lambda s, d: rows.search_catalogue(
         table(s, d, "part").withColumn("tags", F.split(F.lower("p_name"), " ")), "Brand#7", "RING",
         name="p_name", description="p_type", category_column="p_brand").select("p_partkey", "p_name", "p_brand", "p_type"))

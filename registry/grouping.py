@@ -196,12 +196,12 @@ query("run_mart", f"""WITH {_RUNS}, quality AS (
         SELECT l_orderkey AS run_id, max(l_quantity) AS success_pct, CAST(sum(l_linenumber) AS BIGINT) AS passed,
                count(*) AS failed, count(DISTINCT l_partkey) AS total_expectations FROM lineitem GROUP BY 1)
     SELECT r.run_id, n_name AS username, c_name AS dataset_name, c_mktsegment AS file_format, r.started_at,
-           round(r.duration_s, 4) AS duration_s, r.status, r.input_rows, r.output_rows, r.rows_removed,
+           r.duration_s, r.status, r.input_rows, r.output_rows, r.rows_removed,
            round(100.0::DOUBLE * r.rows_removed / nullif(r.input_rows, 0), 2) AS pct_rows_removed,
            success_pct AS quality_success_pct, passed AS quality_checks_passed, failed AS quality_checks_failed, total_expectations
     FROM runs r JOIN customer ON c_custkey = r.dataset_id JOIN nation ON n_nationkey = r.user_id
     LEFT JOIN quality q ON q.run_id = r.run_id""")(
-    lambda s, d: _rounded(_plain(_run_mart(s, d)), 4, "duration_s"))
+    lambda s, d: _plain(_run_mart(s, d)))
 
 
 def _jobs(s, d):

@@ -137,18 +137,27 @@ def union_all(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
 
+def rounded(made: str, digits: int) -> str:
+    """Correctly rounded from the exact binary value, without negative zero."""
+    return f"(CASE WHEN abs({made}) < 0.5e-{digits} THEN 0.0::DOUBLE ELSE format('{{:.{digits}f}}', ({made})::DOUBLE)::DOUBLE END)"
+
+
+def share(part: str, whole: str = "count(*)", digits: int = 2) -> str:
+    return rounded(f"({part})::DOUBLE / ({whole}) * 100", digits)
+
+
 def profile_sql(table_name: str) -> str:
     """One row per column, as `reports.profile.profile` gives it."""
     parts = []
     for c, dtype, kind in COLUMNS[table_name]:
         base = (f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, '{kind}' AS kind, count(*) AS total, "
-                f"count(*) - count({c}) AS missing, round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct, "
-                f"count(DISTINCT {c}) AS \"unique\", round_even(count(DISTINCT {c}) * 100.0::DOUBLE / count(*), 2) AS unique_pct, ")
+                f"count(*) - count({c}) AS missing, {share(f"count(*) - count({c})")} AS missing_pct, "
+                f"count(DISTINCT {c}) AS \"unique\", {share(f"count(DISTINCT {c})")} AS unique_pct, ")
         if kind == "numeric":
             v = f"CAST({c} AS DOUBLE)"
             made = [f"min({v})", f"max({v})", f"avg({v})", f"median({v})", f"stddev_samp({v})",
                     f"coalesce(skewness({v}), 0)", f"quantile_cont({v}, 0.25)", f"quantile_cont({v}, 0.75)"]
-            made = [f"round({m}, 4)" for m in made] + [f"count_if({c} = 0)", f"count_if({c} < 0)"]
+            made = [rounded(m, 4) for m in made] + [f"count_if({c} = 0)", f"count_if({c} < 0)"]
         else:
             made = ["CAST(NULL AS DOUBLE)"] * 8 + ["CAST(NULL AS BIGINT)"] * 2
         labels = ("min", "max", "mean", "median", "std", "skew", "q1", "q3", "zeros", "negatives")

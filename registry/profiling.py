@@ -10,7 +10,7 @@ from millrace.reports import profile as prof
 
 from . import query
 from .inputs import (
-    WITH_EVENTS, WITH_LINEITEM, dirty_events, dirty_lineitem, names, profile_sql, table, union_all,
+    WITH_EVENTS, WITH_LINEITEM, dirty_events, dirty_lineitem, names, profile_sql, rounded, share, table, union_all,
 )
 
 query("profile", profile_sql("lineitem"))(lambda s, d: prof.profile(table(s, d, "lineitem")))
@@ -40,7 +40,7 @@ query("top_values_of_texts", """
     lambda s, d: prof.top_values(table(s, d, "documents"), ["text"], 10))
 
 _HISTOGRAM = """
-    SELECT '{c}' AS "column", g.bin, round_even(g.lo, 2) AS lo, round_even(g.hi, 2) AS hi, coalesce(h.n, 0) AS count FROM (
+    SELECT '{c}' AS "column", g.bin, {lo2} AS lo, {hi2} AS hi, coalesce(h.n, 0) AS count FROM (
         SELECT b::INT AS bin, lo + b * (hi - lo) / n AS lo, CASE WHEN b = n - 1 THEN hi ELSE lo + (b + 1) * (hi - lo) / n END AS hi
         FROM (SELECT lo, hi, n, unnest(range(0, n)) AS b FROM {e})) g
     LEFT JOIN (
@@ -53,14 +53,14 @@ _HISTOGRAM = """
 
 def _histogram_sql(t: str, c: str) -> str:
     ends = (f"(SELECT min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, least(20, greatest(count(DISTINCT {c}), 2)) AS n FROM {t}) e")
-    return _HISTOGRAM.format(c=c, t=t, e=ends)
+    return _HISTOGRAM.format(c=c, t=t, e=ends, lo2=rounded("g.lo", 2), hi2=rounded("g.hi", 2))
 
 
 query("histogram", WITH_LINEITEM + union_all([_histogram_sql("dirty_lineitem", c) for c in names("dirty_lineitem", "numeric")]))(
     lambda s, d: prof.histogram(dirty_lineitem(s, d)))
 
 query("missing_report", WITH_LINEITEM + union_all([f"""
-    SELECT '{c}' AS "column", count(*) - count({c}) AS count, round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS pct
+    SELECT '{c}' AS "column", count(*) - count({c}) AS count, {share(f"count(*) - count({c})")} AS pct
     FROM dirty_lineitem""" for c in names("dirty_lineitem")]))(
     lambda s, d: prof.missing_report(dirty_lineitem(s, d)))
 
@@ -76,7 +76,7 @@ def _tail(s, d):
 query("outlier_report", f"WITH t AS ({_TAIL}) SELECT * FROM (" + union_all([f"""
     SELECT '{c}' AS "column", count_if({c} < lo OR {c} > hi) AS iqr_outliers, count_if(abs(({c} - m) / sd) > 3) AS zscore_outliers,
            round(any_value(lo), 4) AS iqr_lo, round(any_value(hi), 4) AS iqr_hi,
-           round(count_if({c} < lo OR {c} > hi) * 100.0::DOUBLE / count({c}), 2) AS pct_flagged
+           {share(f"count_if({c} < lo OR {c} > hi)", f"count({c})")} AS pct_flagged
     FROM t, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, m, sd FROM (
         SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, avg({c}) AS m, stddev_pop({c}) AS sd FROM t))
     WHERE {c} IS NOT NULL""" for c in ("squared", "l_quantity", "steep")]) + ") WHERE iqr_outliers > 0 OR zscore_outliers > 0")(

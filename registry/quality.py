@@ -9,7 +9,7 @@ from millrace.reports import rules as r
 
 from . import query
 from .inputs import (
-    COLUMNS, WITH_LINEITEM, WITH_ORDERS, dirty_lineitem, dirty_orders, names, profile_sql, table, union_all,
+    COLUMNS, WITH_LINEITEM, WITH_ORDERS, dirty_lineitem, dirty_orders, rounded, share as pct, table, union_all,
 )
 
 _RESULT = "SELECT '{e}' AS expectation, {c} AS \"column\", {ok} AS success, {o} AS observed, '{d}' AS detail"
@@ -48,7 +48,7 @@ _SUITE_SQL = union_all([
     _row(q.BETWEEN, "o_orderpriority", "false", detail="not a numeric column"),
     _bad(q.REGEX, "o_orderpriority", r"NOT coalesce(regexp_matches(o_orderpriority, '^(?:\d-[A-Z])'), false)", "dirty_orders"),
     _bad(q.IN_SET, "o_orderpriority", "NOT coalesce(o_orderpriority IN (''1-URGENT'', ''2-HIGH''), false)".replace("''", "'"), "dirty_orders"),
-    _row(q.MEAN, "o_totalprice", "avg(o_totalprice) BETWEEN 100000 AND 400000", "round(avg(o_totalprice), 4)", source="dirty_orders"),
+    _row(q.MEAN, "o_totalprice", "avg(o_totalprice) BETWEEN 100000 AND 400000", rounded("avg(o_totalprice)", 4), source="dirty_orders"),
     _row("expect_something_else", "o_orderkey", "false", detail="expectation not known"),
     _row(q.NOT_NULL, "nowhere", "false", detail="column not found"),
 ])
@@ -80,14 +80,14 @@ def _lite_sql() -> str:
     t = "dirty_lineitem"
     parts = []
     for c, _, kind in COLUMNS[t]:
-        share = f"round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) / 100"
+        share = pct(f"count(*) - count({c})") + " / 100"
         parts.append(_row(q.EXISTS, c, "true"))
         parts.append(_row(q.NOT_NULL, c, f"{share} < 0.05", share, "null rate", t))
         if kind == "numeric":
             far = f"count_if(abs(({c} - m) / sd) > 3)::DOUBLE / count({c})"
             source = f"{t}, (SELECT avg({c}) AS m, stddev_pop({c}) AS sd FROM {t})"
-            parts.append(_row(q.SPREAD, c, f"{far} < 0.05", f"round({far} * 100, 2)", "percent beyond three deviations", source))
-            parts.append(_row(q.MEAN, c, "true", f"round(avg({c}), 4)", "mean", t))
+            parts.append(_row(q.SPREAD, c, f"{far} < 0.05", rounded(f"{far} * 100", 2), "percent beyond three deviations", source))
+            parts.append(_row(q.MEAN, c, "true", rounded(f"avg({c})", 4), "mean", t))
         repeats = _REPEATS.format(c=c)
         parts.append(_row(q.UNIQUE, c, f"{repeats} = 0", f"({repeats})::DOUBLE", "repeated values", t)
                      + f" HAVING round_even(count(DISTINCT {c}) * 100.0::DOUBLE / count(*), 2) = 100")
@@ -123,7 +123,6 @@ def _profile_suite_sql() -> str:
 
 query("dq_profile_suite", _profile_suite_sql())(_profile_suite)
 
-_EVENTS_BY_TYPE = names("dirty_lineitem")
 query("dq_file_gate", WITH_LINEITEM + """
     SELECT l_returnflag AS file, true AS has_rows, count(l_sparse) > 0 AND count(l_quantity) > 0 AND count(empty) > 0 AS no_empty_column,
            true AS has_columns, CAST(2 + CASE WHEN count(l_sparse) > 0 AND count(l_quantity) > 0 AND count(empty) > 0 THEN 1 ELSE 0 END AS BIGINT) AS passed,
@@ -178,8 +177,7 @@ def _rules_sql() -> str:
         parts.append(_rule_row(rule, expected, actual.format(n=n), f"CASE WHEN {n} > 0 THEN '{bad_status}' ELSE 'passed' END", n))
     copies = "((SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)))"
     repeats = _REPEATS.format(c="o_orderkey")
-    share = "round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2)"
-    low, high = share.format(c="o_custkey"), share.format(c="o_totalprice")
+    low, high = pct("count(*) - count(o_custkey)"), pct("count(*) - count(o_totalprice)")
     rest = _ALL_RULES[len(_RULES):]
     parts += [
         _rule_row(rest[0], ">= 10 rows", "count(*) || ' rows'", "CASE WHEN count(*) >= 10 THEN 'passed' ELSE 'failed' END", "0::BIGINT"),

@@ -9,18 +9,18 @@ from millrace.reports import drift, insight, sensitive
 from millrace.reports.profile import profile
 
 from . import query
-from .inputs import COLUMNS, SQL_LINEITEM_V2, lineitem_v2, names, profile_sql, table, union_all, with_
+from .inputs import COLUMNS, SQL_LINEITEM_V2, lineitem_v2, names, profile_sql, share, table, union_all, with_
 
 
 def _light_sql(t: str) -> str:
     parts = []
     for c, dtype, kind in COLUMNS[t]:
         numeric = kind == "numeric"
-        ends = ", ".join(f"{f}({c})::DOUBLE AS {f}" if numeric else f"CAST(NULL AS DOUBLE) AS {f}" for f in ("min", "max"))
+        ends = ", ".join(f"CASE WHEN {f}({c}) = 0 THEN 0.0::DOUBLE ELSE {f}({c})::DOUBLE END AS {f}" if numeric else f"CAST(NULL AS DOUBLE) AS {f}" for f in ("min", "max"))
         mean = f"avg({c})::DOUBLE" if numeric else "CAST(NULL AS DOUBLE)"
         unique = "CAST(NULL AS BIGINT)" if numeric else f"count(DISTINCT {c})"
         parts.append(f"SELECT '{c}' AS \"column\", '{dtype}' AS dtype, '{'numeric' if numeric else 'categorical'}' AS kind, "
-                     f"round_even((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct, {ends}, round({mean}, 4) AS mean, "
+                     f"{share(f'count(*) - count({c})')} AS missing_pct, {ends}, round({mean}, 4) AS mean, "
                      f"{unique} AS \"unique\" FROM {t}")
     return union_all(parts)
 
@@ -135,7 +135,7 @@ def _skewed(s, d):
 
 _INSIGHT = f"""p AS ({profile_sql('lineitem_x')}), i AS (
     SELECT "column", {_MEANING} AS semantic_type,
-           array_to_string(list_transform(string_split(replace("column", '_', ' '), ' '), w -> upper(w[1]) || w[2:]), ' ') AS label,
+           array_to_string(list_transform(string_split(replace("column", '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS label,
            missing_pct > 20 AS high_missing,
            concat_ws(',', CASE WHEN missing_pct > 0 THEN 'fill_missing' END, CASE WHEN kind = 'numeric' THEN 'normalize' END,
              CASE WHEN kind = 'numeric' AND abs(skew) > 1 THEN 'remove_outliers' END,
