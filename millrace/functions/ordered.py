@@ -51,8 +51,8 @@ def _edges(t: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> Data
     return at_edge.groupBy(_RANGE, *[col(k) for k in keys]).agg(*made)
 
 
-def _with_carry(t: DataFrame, keys: list[str], aggregates: dict[str, Column], carried) -> DataFrame:
-    over = W.partitionBy(*[col(k) for k in keys]).orderBy(_RANGE)
+def _with_carry(t: DataFrame, keys: list[str], aggregates: dict[str, Column], carried, descending=False) -> DataFrame:
+    over = W.partitionBy(*[col(k) for k in keys]).orderBy(F.desc(_RANGE) if descending else F.asc(_RANGE))
     edges = _edges(t, keys, aggregates)
     carry = edges.select(F.col(_RANGE).alias("_r"), *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                          *[c.alias(n) for n, c in carried(over).items()])
@@ -64,10 +64,6 @@ def _before(over):
     return over.rowsBetween(W.unboundedPreceding, -1)
 
 
-def _after(over):
-    return over.rowsBetween(1, W.unboundedFollowing)
-
-
 def number_rows(df, keys, order, out, limit=GROUP_LIMIT, ranges=None):
     """1..n in order inside each group."""
     by = [col(c) for c in order]
@@ -107,22 +103,27 @@ def neighbour(df, keys, order, column, out, ahead=False, limit=GROUP_LIMIT, rang
 
 
 def carry_values(df, keys, order, columns, backward=False, limit=GROUP_LIMIT, ranges=None):
-    """Fill nulls with the last non-null value before (or the next one after) in order."""
-    by = [col(c) for c in order]
-    pick, edge = (F.first, _after) if backward else (F.last, _before)
-    frame = (0, W.unboundedFollowing) if backward else (W.unboundedPreceding, 0)
+    """Fill nulls with the last non-null value before (or the next one after) in order.
+
+    Looking ahead is looking back in descending order: a frame that grows row by
+    row takes one pass, one that shrinks would start anew for every row.
+    """
+    by = [col(c).desc() if backward else col(c) for c in order]
 
     def filled(over):
-        return {c: pick(col(c), ignorenulls=True).over(over.rowsBetween(*frame)) for c in columns}
+        frame = over.rowsBetween(W.unboundedPreceding, 0)
+        return {c: F.last(col(c), ignorenulls=True).over(frame) for c in columns}
 
     if not has_large_group(df, keys, limit):
         new = filled(W.partitionBy(*[col(k) for k in keys]).orderBy(*by))
         return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
     nearest = F.min_by if backward else F.max_by
+    at = F.struct(*[col(c) for c in order])
     t = _with_carry(
         ranged(df, keys, order, ranges), keys,
-        {f"_v{i}": nearest(col(c), F.when(col(c).isNotNull(), F.struct(*by))) for i, c in enumerate(columns)},
-        lambda over: {f"_c{i}": pick(F.col(f"_v{i}"), ignorenulls=True).over(edge(over)) for i in range(len(columns))})
+        {f"_v{i}": nearest(col(c), F.when(col(c).isNotNull(), at)) for i, c in enumerate(columns)},
+        lambda over: {f"_c{i}": F.last(f"_v{i}", ignorenulls=True).over(_before(over)) for i in range(len(columns))},
+        descending=backward)
     new = filled(W.partitionBy(_RANGE, *[col(k) for k in keys]).orderBy(*by))
     return t.select(*[
         F.coalesce(new[c], F.col(f"_c{columns.index(c)}")).alias(c) if c in new else col(c) for c in df.columns])

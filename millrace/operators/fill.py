@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 from ..functions import convert
 from ..functions.columns import NUMERIC, col, is_nested, is_whole, kinds, present, replace_columns
 from ..functions.ordered import carry_values
-from ..functions.stats import STATE_LIMIT, measure, modes, null_counts, quantiles, value
+from ..functions.stats import ROW_LIMIT, measure, modes, null_counts, quantiles, value
 
 UNKNOWN = "Unknown"
 
 
 def fit_fill(df: DataFrame, strategy: str = "median", columns: list[str] | None = None, value_=None,
-             only_missing: bool = True, state_limit: int = STATE_LIMIT) -> dict:
+             only_missing: bool = True, row_limit: int = ROW_LIMIT) -> dict:
     """What each column's nulls become.
 
     Columns without nulls are left out, unless the result is meant for rows that
@@ -30,7 +30,7 @@ def fit_fill(df: DataFrame, strategy: str = "median", columns: list[str] | None
     whole = [] if only_missing else _complete_whole(df, numeric)
     others = [c for c in cols if c not in numeric]
     if strategy == "median":
-        found = {c: q[0] for c, q in quantiles(df, numeric, [0.5], state_limit).items()}
+        found = {c: q[0] for c, q in quantiles(df, numeric, [0.5], row_limit).items()}
         return {**_keep_whole(found, whole), **dict.fromkeys(others, UNKNOWN)}
     if strategy == "mean":
         found = measure(df, {c: F.avg(value(df, c).cast("double")) for c in numeric}) if numeric else {}

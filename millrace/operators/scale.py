@@ -16,7 +16,7 @@ def fit_scale(df: DataFrame, method: str, columns: list[str] | None = None) -> d
         return {}
     v = {c: value(df, c).cast("double") for c in cols}
     if method == "normalize":
-        got = measure(df, {**{(c, 0): F.min(v[c]) for c in cols}, **{(c, 1): F.max(v[c]) for c in cols}})
+        got = measure(df, {**{(c, 0): F.min(v[c]) for c in cols}, **{(c, 1): F.max(v[c]) for c in cols}}, fields=1)
         return {c: (got[c, 0], got[c, 1] - got[c, 0]) for c in cols if got[c, 0] is not None and got[c, 1] != got[c, 0]}
     got = measure(df, {**{(c, 0): F.avg(v[c]) for c in cols}, **{(c, 1): F.stddev_samp(v[c]) for c in cols}})
     return {c: (got[c, 0], got[c, 1]) for c in cols if got[c, 1]}

@@ -30,7 +30,7 @@ def light_profile(df: DataFrame, approx: bool = False) -> DataFrame:
         wanted[c, "n"] = F.count(v)
         if k == NUMERIC:
             wanted |= {(c, "min"): F.min(v), (c, "max"): F.max(v), (c, "mean"): F.avg(v.cast("double"))}
-    got = stats.measure(df, wanted)
+    got = stats.measure(df, wanted, fields=1)
     unique = stats.distinct_counts(df, [c for c, k in by_kind.items() if k != NUMERIC], approx)
     rows = []
     for f in df.schema:

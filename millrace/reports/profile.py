@@ -19,6 +19,9 @@ PROFILE = (
     "q1 double, q3 double, zeros bigint, negatives bigint")
 
 
+_QUARTERS = [0.25, 0.5, 0.75]
+
+
 def pct(part: float, whole: float, digits: int = 2) -> float:
     return round(part / whole * 100, digits) if whole else 0.0
 
@@ -27,31 +30,30 @@ def _rounded(x, digits: int = 4):
     return None if x is None else round(float(x), digits) + 0.0  # no negative zero
 
 
-def column_stats(df: DataFrame, approx: bool = False, state_limit: int = stats.STATE_LIMIT) -> list[dict]:
+def column_stats(df: DataFrame, approx: bool = False, row_limit: int = stats.ROW_LIMIT) -> list[dict]:
     """One dict per column, unrounded.
 
-    Three passes: fused moments and sizes, quantiles, distinct counts.
-    `approx` answers the last two with sketches.
+    Two passes: fused moments, then quartiles and distinct counts from one shuffle.
+    `approx` answers the latter with sketches.
     """
     by_kind = kinds(df)
     numeric = [c for c, k in by_kind.items() if k == NUMERIC]
     wanted = {None: F.count(F.lit(1))}
-    for c in df.columns:
-        wanted[c, "n"] = F.count(value(df, c))
-    for c in numeric:
+    for c, k in by_kind.items():
         v = value(df, c)
-        d = v.cast("double")
-        wanted |= {
-            (c, "d"): F.approx_count_distinct(v), (c, "min"): F.min(v), (c, "max"): F.max(v), (c, "mean"): F.avg(d),
-            (c, "std"): F.stddev_samp(d), (c, "std_pop"): F.stddev_pop(d), (c, "skew"): F.skewness(d),
-            (c, "zeros"): F.count_if(v == 0), (c, "negatives"): F.count_if(v < 0)}
-    for c in [c for c, k in by_kind.items() if k == DATETIME]:
-        wanted |= {(c, "min"): F.min(col(c)).cast("string"), (c, "max"): F.max(col(c)).cast("string")}
-    got = stats.measure(df, wanted)
-    quarts = stats.quantiles(df, numeric, [0.25, 0.5, 0.75], state_limit,
-                             known={c: (got[c, "n"], got[c, "d"]) for c in numeric},
-                             accuracy=10_000 if approx else None)
-    unique = stats.distinct_counts(df, df.columns, approx)
+        if k == NUMERIC:
+            wanted |= {**stats.moment_aggregates(df, c), (c, "zeros"): F.count_if(v == 0), (c, "negatives"): F.count_if(v < 0)}
+        else:
+            wanted[c, "n"] = F.count(v)
+        if k == DATETIME:
+            wanted |= {(c, "min"): F.min(v).cast("string"), (c, "max"): F.max(v).cast("string")}
+    got = stats.measure(df, wanted, fields=2)
+    n = {c: got[c, "n"] for c in df.columns}
+    if approx:
+        quarts = stats.quantiles(df, numeric, _QUARTERS, known=n, accuracy=10_000)
+        unique = stats.distinct_counts(df, df.columns, approx=True)
+    else:
+        quarts, unique = stats.quantiles_and_distinct(df, numeric, _QUARTERS, df.columns, n, row_limit)
     out = []
     for f in df.schema:
         c, n = f.name, got[f.name, "n"]
@@ -61,8 +63,8 @@ def column_stats(df: DataFrame, approx: bool = False, state_limit: int = stats.S
             s["kind"] = CATEGORICAL  # nothing to measure
         elif by_kind[c] == NUMERIC:
             q1, median, q3 = quarts[c]
-            s |= {m: got[c, m] for m in ("min", "max", "mean", "std", "std_pop", "zeros", "negatives")}
-            s |= {"q1": q1, "median": median, "q3": q3, "skew": stats.adjusted_skew(got[c, "skew"], n, got[c, "std"])}
+            s |= {**stats.finish_moments(got, c), "zeros": got[c, "zeros"], "negatives": got[c, "negatives"]}
+            s |= {"q1": q1, "median": median, "q3": q3}
         elif by_kind[c] == DATETIME:
             s |= {"first": got[c, "min"], "last": got[c, "max"]}
         s |= {"missing_pct": pct(s["missing"], s["total"]), "unique_pct": pct(s["unique"], s["total"])}
@@ -114,7 +116,7 @@ def histogram(df: DataFrame, measured: list[dict] | None = None, max_bins: int =
     if measured is None:
         numeric = [c for c, k in kinds(df).items() if k == NUMERIC]
         ends = stats.measure(df, {**{(c, "min"): F.min(value(df, c)) for c in numeric},
-                                  **{(c, "max"): F.max(value(df, c)) for c in numeric}})
+                                  **{(c, "max"): F.max(value(df, c)) for c in numeric}}, fields=1)
         unique = stats.distinct_counts(df, numeric)
         measured = [{"column": c, "min": ends[c, "min"], "max": ends[c, "max"], "unique": unique[c]}
                     for c in numeric if ends[c, "min"] is not None]
@@ -157,17 +159,13 @@ def duplicate_report(df: DataFrame) -> DataFrame:
                 F.bround(F.try_divide(F.col("duplicate_rows") * 100.0, F.col("total_rows")).cast("double"), 2), F.lit(0.0))))
 
 
-def outlier_report(df: DataFrame, measured: list[dict] | None = None, state_limit: int = stats.STATE_LIMIT) -> DataFrame:
+def outlier_report(df: DataFrame, measured: list[dict] | None = None, row_limit: int = stats.ROW_LIMIT) -> DataFrame:
     """Numeric columns with ten values or more that have values outside 1.5 quartile ranges or |z| > 3."""
     if measured is None:
         numeric = [c for c, k in kinds(df).items() if k == NUMERIC]
-        base = stats.measure(df, {
-            (c, m): f(value(df, c)) for c in numeric
-            for m, f in {"n": F.count, "d": F.approx_count_distinct, "mean": F.avg, "std_pop": F.stddev_pop}.items()})
-        numeric = [c for c in numeric if base[c, "n"]]
-        quarts = stats.quantiles(df, numeric, [0.25, 0.75], state_limit, {c: (base[c, "n"], base[c, "d"]) for c in numeric})
-        measured = [{"column": c, "kind": NUMERIC, "n": base[c, "n"], "mean": base[c, "mean"], "std_pop": base[c, "std_pop"],
-                     "q1": quarts[c][0], "q3": quarts[c][1]} for c in numeric]
+        base = stats.moments(df, numeric)
+        quarts = stats.quantiles(df, numeric, [0.25, 0.75], row_limit, {c: base[c]["n"] for c in numeric})
+        measured = [{"column": c, "kind": NUMERIC, **base[c], "q1": quarts[c][0], "q3": quarts[c][1]} for c in numeric]
     wanted, bounds = {}, {}
     for s in (m for m in measured if m["kind"] == NUMERIC and m["n"] >= 10):
         c, iqr = s["column"], s["q3"] - s["q1"]
@@ -176,7 +174,7 @@ def outlier_report(df: DataFrame, measured: list[dict] | None = None, state_limi
         wanted[c, "iqr"] = F.count_if((v < bounds[c][0]) | (v > bounds[c][1]))
         wanted[c, "z"] = (F.count_if(F.abs((v - F.lit(float(s["mean"]))) / F.lit(float(s["std_pop"]))) > 3)
                           if s["std_pop"] else F.count_if(F.lit(False)))
-    got = stats.measure(df, wanted) if wanted else {}
+    got = stats.measure(df, wanted, fields=1) if wanted else {}
     rows = [(c, got[c, "iqr"], got[c, "z"], round(lo, 4), round(hi, 4), pct(got[c, "iqr"], n))
             for c, (lo, hi, n) in bounds.items() if got[c, "iqr"] or got[c, "z"]]
     return df.sparkSession.createDataFrame(
@@ -184,24 +182,28 @@ def outlier_report(df: DataFrame, measured: list[dict] | None = None, state_limi
 
 
 def pearson(x, y):
-    """Correlation over the rows that have both values; null where one side is constant."""
-    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    """Correlation over the rows that have both values; null where one side is constant.
+
+    `corr` itself refuses constant columns, so the size comes from the share of
+    explained variance and the sign from the covariance.
+    """
+    x, y = x.cast("double"), y.cast("double")
+    together, explained = F.covar_samp(x, y), F.regr_r2(y, x)
+    return F.when((together != 0) | (explained < 1), F.sqrt(explained) * F.signum(together))
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
-    """All ordered pairs of numeric columns, from one pass over the unordered ones."""
+    """All ordered pairs of numeric columns, each unordered pair measured once."""
     numeric = columns or [c for c, k in kinds(df).items() if k == NUMERIC]
     schema = "col_a string, col_b string, r double"
     if len(numeric) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    got = stats.measure(df, {
-        **{(a, b): pearson(value(df, a), value(df, b)) for a, b in combinations(numeric, 2)},
-        **{(a, a): F.stddev_samp(value(df, a)) for a in numeric}})
+    got = stats.measure(df, {(a, b): pearson(value(df, a), value(df, b)) for a, b in combinations(numeric, 2)}, fields=10)
+    ends = stats.measure(df, {(c, m): f(value(df, c)) for c in numeric for m, f in (("min", F.min), ("max", F.max))}, fields=1)
     rows = []
     for a in numeric:
         for b in numeric:
-            r = (1.0 if got[a, a] else None) if a == b else got[(a, b) if (a, b) in got else (b, a)]
+            r = (1.0 if ends[a, "min"] != ends[a, "max"] else None) if a == b else got[(a, b) if (a, b) in got else (b, a)]
             rows.append((a, b, _rounded(r, digits)))
     return df.sparkSession.createDataFrame(rows, schema)
 

@@ -70,7 +70,7 @@ def run_suite(df: DataFrame, suite: list[dict]) -> DataFrame:
         elif (bad := _bad_values(df, name, kw)) is not None:
             wanted[i] = bad
             wanted[c, "n"] = F.count(value(df, c))
-    got = stats.measure(df, wanted)
+    got = stats.measure(df, wanted, fields=1)
     total = got[None]
     keyed = list(dict.fromkeys(
         x["kwargs"]["column"] for x in suite if x["expectation"] == UNIQUE and x["kwargs"].get("column") in df.columns))
@@ -147,7 +147,7 @@ def automatic_checks(df: DataFrame, measured: list[dict] | None = None) -> DataF
     measured = measured or column_stats(df)
     wide = {s["column"]: F.count_if(F.abs((value(df, s["column"]) - F.lit(float(s["mean"]))) / F.lit(float(s["std_pop"]))) > 3)
             for s in measured if s["kind"] == NUMERIC and s["n"] > 3 and s["std_pop"]}
-    extreme = stats.measure(df, wide) if wide else {}
+    extreme = stats.measure(df, wide, fields=1) if wide else {}
     rows = []
     for s in measured:
         c = s["column"]

@@ -86,7 +86,7 @@ def run_rules(df: DataFrame, rules: list[dict], order_by: list[str] | None = Non
                 errors[i] = f"Error: {str(e).splitlines()[0]}"
         if rule["rule_type"] == "unique" and c in have:
             wanted["n", c] = F.count(value(df, c))
-    got = stats.measure(df, wanted)
+    got = stats.measure(df, wanted, fields=1)
     total = got[None]
     keyed = list(dict.fromkeys(r["column"] for r in rules if r["rule_type"] == "unique" and r.get("column") in have))
     repeated = repeats(df, keyed, total, {c: total - got["n", c] for c in keyed})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import json
 import os
 import re
 
@@ -24,8 +26,6 @@ _OVERFLOW = "_beyond_header"
 
 
 def _split_header(line: str, sep: str, quote: str = '"') -> list[str]:
-    import csv
-
     return next(csv.reader([line], delimiter=sep, quotechar=quote), [])
 
 
@@ -113,7 +113,7 @@ def _infer(cells: DataFrame, slots: list[str]) -> dict[str, str]:
             (c, "double"): F.count(convert.to_double(v, T.StringType())),
             (c, "bool"): F.count_if(v.isin("True", "TRUE", "true", "False", "FALSE", "false")),
         }
-    got = measure(cells, tests)
+    got = measure(cells, tests, fields=1)
     out = {}
     for c in slots:
         n, whole = got[c, "n"], got[None] == got[c, "n"]
@@ -135,12 +135,25 @@ def read_csv_spark(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def read_json(spark: SparkSession, path, schema=None) -> DataFrame:
-    """A top-level array gives one row per element, an object one row."""
-    reader = spark.read.option("multiLine", True)
+def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = None) -> DataFrame:
+    """A top-level array gives one row per element, an object one row.
+
+    Files with one complete value per line are split among tasks; a value over
+    several lines makes its file one document (`by_line=None` looks at the start).
+    """
+    if by_line is None:
+        by_line = _is_complete_json(_first_line(spark, path))
+    reader = spark.read.option("multiLine", not by_line)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _is_complete_json(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), (dict, list))
+    except ValueError:
+        return False
+
+
 def suffix(path: str) -> str:
     return path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in os.path.basename(path.rstrip("/")) else ""
 

@@ -54,27 +54,17 @@ query("lenient_csv", """
     FROM orders WHERE o_orderkey % 10 <> 0""")(_ragged)
 
 
-def _json(s, d):
+def _json(s, d, wrapped):
+    """One event per line, bare or inside a top-level array."""
     path = scratch_path(s, "events") + ".json"
-    dirty_events(s, d).select("event_id", "user_id", "event_type", "value").write.json(path)
-    return path
-
-
-query("json_scan", WITH_EVENTS + "SELECT event_id, user_id, event_type, value FROM dirty_events")(
-    lambda s, d: read.read_json(s, _arrays(s, d)).select("event_id", "user_id", "event_type", "value"))
-
-
-def _arrays(s, d):
-    """One file with a top-level array per user."""
-    path = scratch_path(s, "arrays")
-    rows = dirty_events(s, d).groupBy("user_id").agg(
-        F.to_json(F.collect_list(F.struct("event_id", "user_id", "event_type", "value"))).alias("value"))
-    rows.withColumn("part", F.col("user_id")).select("part", "value").write.partitionBy("part").text(path)
-    return f"{path}/part=*"
+    event = F.struct("event_id", "user_id", "event_type", "value")
+    dirty_events(s, d).select(F.to_json(F.array(event) if wrapped else event).alias("value")).write.text(path)
+    return read.read_dataset(s, path).select("event_id", "user_id", "event_type", "value")
 
 
-query("json_lines_spark", WITH_EVENTS + "SELECT event_id, user_id, event_type, value FROM dirty_events")(
-    lambda s, d: s.read.json(_json(s, d)).select("event_id", "user_id", "event_type", "value"))
+_EVENTS_READ = WITH_EVENTS + "SELECT event_id, user_id, event_type, value FROM dirty_events"
+query("json_scan", _EVENTS_READ)(lambda s, d: _json(s, d, wrapped=True))
+query("json_object_scan", _EVENTS_READ)(lambda s, d: _json(s, d, wrapped=False))
 query("parquet_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")(
     lambda s, d: read.read_dataset(s, f"{d}/lineitem.parquet", nan_as_null=False).filter("l_quantity > 45").select("l_orderkey", "l_quantity"))
 query("extract_report", "SELECT count(*) AS rows, CAST(6 AS BIGINT) AS cols, 'parquet' AS format, 'spark' AS engine FROM orders")(

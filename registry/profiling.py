@@ -85,6 +85,6 @@ query("outlier_report", f"WITH t AS ({_TAIL}) SELECT * FROM (" + union_all([f"""
         "pct_flagged"))
 
 query("correlation", WITH_LINEITEM + union_all([
-    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 3) AS r FROM dirty_lineitem"
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {rounded(f'corr({a}, {b})', 3)} AS r FROM dirty_lineitem"
     for a, b in product(names("dirty_lineitem", "numeric"), repeat=2)]))(
     lambda s, d: prof.correlation(dirty_lineitem(s, d)))
