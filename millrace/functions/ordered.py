@@ -35,7 +35,8 @@ def has_large_group(df: DataFrame, keys: list[str], limit: int) -> bool:
 
 
 def ranged(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The rows in ranges of group and order, as many as the row count asks for."""
+    n = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // GROUP_LIMIT + 1)
     by = [col(c) for c in [*keys, *order]]
     return settle(df.repartitionByRange(n, *by).withColumn(_RANGE, F.spark_partition_id()), "ranged")
 

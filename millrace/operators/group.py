@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +80,3 @@ def sql_step(df: DataFrame, sql: str, view: str = "source_table") -> DataFrame:
     """Any query over the table, which it sees under the view's name."""
     df.createOrReplaceTempView(view)
     return df.sparkSession.sql(sql)
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

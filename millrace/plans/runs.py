@@ -9,15 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import col
 from ..operators import shape
 from ..reports import profile as prof
 from ..reports import quality
 from ..sources import write
 from ..sources.read import file_name, list_files, read_dataset, read_delimited, suffix
-from ..sources.scratch import scratch_path, settle
+from ..sources.scratch import settle
 from . import models
-from .steps import describe_step, run_steps
+from .steps import run_steps
 from .templates import BATCH_STEPS, DEFAULT_STEPS
 
 
@@ -83,8 +82,7 @@ def run_stages(spark: SparkSession, source: str | DataFrame, stages: list[dict],
             journal.note("INFO", name, f"starting [{kind}]")
             if kind in ("transform", "spark_transform"):
                 done = run_steps(df, config.get("operations", []) if kind == "transform" else [config])
-                if any(describe_step(s)[0] not in ("passthrough",) for s in config.get("operations", [config])):
-                    df = settle(done.df)
+                df = settle(done.df)
                 summary[f"{kind}_{i}"] = done.log
                 journal.note("INFO", name, f"{df.count()} rows out")
             elif kind == "dq_check":
@@ -158,14 +156,14 @@ def join_report(left: DataFrame, right: DataFrame, joined: DataFrame) -> DataFra
                          F.lit(",".join(joined.columns)).alias("new_columns"))
 
 
-def clean_files(spark: SparkSession, folder: str, out: str, steps: list[dict] | None = None) -> list[dict]:
-    """Clean every data file of a folder on its own and write it as ``clean_<file>``.
+def clean_files(spark: SparkSession, folder: str | list[str], out: str, steps: list[dict] | None = None) -> list[dict]:
+    """Clean every data file of a folder (or each listed path) on its own, as ``clean_<file>``.
 
     Each file has its own columns and its own statistics, so each is one Spark
     run; a file that cannot be read is reported and the others go on.
     """
     report = []
-    for path in list_files(spark, folder, ("csv", "tsv", "json")):
+    for path in list_files(spark, folder) if isinstance(folder, str) else folder:
         name = file_name(path)
         try:
             df = read_dataset(spark, path) if suffix(path) != "tsv" else read_delimited(spark, path, sep="\t")
@@ -181,12 +179,3 @@ def write_by_file(df: DataFrame, out: str, file_column: str = "file_name") -> st
     """Files of one layout, cleaned together, written to one folder per source file."""
     df.write.mode("overwrite").partitionBy(file_column).option("header", True).csv(out)
     return out
-
-
-def new_output(spark: SparkSession, label: str) -> str:
-    """A fresh folder name in the shared folder."""
-    return scratch_path(spark, label)
-
-
-def column_order(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.select(*[col(c) for c in names])

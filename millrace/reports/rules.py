@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,7 +156,3 @@ def overall_status(results: DataFrame) -> DataFrame:
     return results.agg(
         F.count_if(F.col("status") == "passed").alias("passed"), failed.alias("failed"), warned.alias("warnings"),
         F.when(failed > 0, "failed").when(warned > 0, "warning").otherwise("passed").alias("overall_status"))
-
-
-def union_results(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

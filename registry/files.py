@@ -42,10 +42,9 @@ def _ragged(s, d):
     line = F.expr("""CASE WHEN o_orderkey % 10 = 0 THEN concat_ws(',', o_orderkey, o_custkey, o_orderstatus, 'more')
                           WHEN o_orderkey % 10 = 5 THEN concat_ws(',', o_orderkey, o_custkey)
                           ELSE concat_ws(',', o_orderkey, o_custkey, concat('"', o_orderstatus, ', ', o_orderpriority, '"')) END""")
-    body = table(s, d, "orders").select(line.alias("value"))
-    head = s.range(1).select(F.lit("id,customer,state").alias("value"))
-    # One file: the header has to be the first line.
-    head.unionByName(body).coalesce(1).write.text(path)
+    # The lines go out as they are, each file under the header, which is the name of the only column.
+    raw = table(s, d, "orders").select(line.alias("id,customer,state"))
+    raw.write.option("header", True).option("sep", "\u0002").option("quote", "\u0000").option("escapeQuotes", False).csv(path)
     return read.read_dataset(s, path)
 
 
@@ -147,9 +146,11 @@ query("per_file_summary", WITH_ORDERS + """, f AS (SELECT CASE WHEN o_orderdate
 
 def _clean_each(s, d):
     folder, out = scratch_path(s, "rawcsv"), scratch_path(s, "clean")
-    made = dirty_orders(s, d).drop("o_orderdate")
-    made.coalesce(2).write.option("header", True).csv(folder)
-    report = runs.clean_files(s, folder, out)
+    parts = []
+    for name, test in (("early.csv", "o_orderdate < '1998-01-01'"), ("late.csv", "o_orderdate >= '1998-01-01'")):
+        parts.append(f"{folder}/{name}")
+        dirty_orders(s, d).filter(test).drop("o_orderdate").write.option("header", True).csv(parts[-1])
+    report = runs.clean_files(s, parts, out)
     assert report and all(r["status"] == "success" for r in report), report
     return s.read.option("header", True).schema("o_orderkey bigint, o_custkey double, o_orderpriority string, o_totalprice double").csv(
         [r["path"] for r in report]).select("o_orderkey", "o_orderpriority")
