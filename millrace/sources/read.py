@@ -20,9 +20,8 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-_ABSENT = "\u0001absent\u0001"  # never a cell: keeps empty cells apart from cells that are not there
 _DELIMITERS = (",", "\t", ";", "|")
-_OVERFLOW = "_beyond_header"
+_UNEVEN = "_uneven_row"
 
 
 def _split_header(line: str, sep: str, quote: str = '"') -> list[str]:
@@ -75,14 +74,15 @@ def read_delimited(spark: SparkSession, path, sep: str | None = ",", infer: bool
     names = _header_names(_split_header(header, sep))
     refuse_case_twins(names)
     slots = [f"c{i}" for i in range(len(names))]
-    text_schema = T.StructType([T.StructField(c, T.StringType()) for c in [*slots, _OVERFLOW]])
+    text_schema = T.StructType([T.StructField(c, T.StringType()) for c in [*slots, _UNEVEN]])
     raw = (spark.read.schema(text_schema).option("header", True).option("sep", sep).option("multiLine", multi_line)
-           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("nullValue", _ABSENT)
-           .option("emptyValue", "").option("enforceSchema", True).csv(path))
-    blank = F.col("c0").isin("") & F.lit(True)
-    for c in slots[1:]:
-        blank = blank & F.col(c).isNull()
-    kept = raw.filter(F.col(_OVERFLOW).isNull() & ~F.coalesce(blank & F.lit(len(slots) > 1), F.lit(False)))
+           .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", _UNEVEN).option("enforceSchema", True).csv(path))
+    # The reader marks rows of another length and gives their text; the short ones stay.
+    unquoted = F.regexp_replace(_UNEVEN, r'"([^"]|"")*"', "")
+    fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
+    first = F.col("c0")  # a test has to name a real column too, or a count would read only the mark
+    kept = raw.filter((F.col(_UNEVEN).isNull() | (fields <= len(slots))) & (first.isNull() | (F.length(first) >= 0)))
     cells = kept.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in slots])
     if schema is not None:
         given = spark.createDataFrame([], schema).schema
