@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
-_TIME_FORMATS = ("M/d/yyyy HH:mm:ss", "M/d/yyyy", "yyyy/M/d HH:mm:ss", "yyyy/M/d")
+# What a text must look like before it is parsed by a format; a failed parse is slow.
+_TIME_FORMATS = {
+    "M/d/yyyy HH:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d\d:\d\d:\d\d$", "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "yyyy/M/d HH:mm:ss": r"^\d{4}/\d{1,2}/\d{1,2} \d\d:\d\d:\d\d$", "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+}
 
 
 def to_double(c: Column, dtype: T.DataType) -> Column:
@@ -29,7 +33,8 @@ def to_long(c: Column, dtype: T.DataType) -> Column:
 
 def to_timestamp(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
-        return F.coalesce(c.try_cast("timestamp"), *[F.try_to_timestamp(c, F.lit(f)) for f in _TIME_FORMATS])
+        return F.coalesce(c.try_cast("timestamp"), *[
+            F.when(c.rlike(looks), F.try_to_timestamp(c, F.lit(f))) for f, looks in _TIME_FORMATS.items()])
     if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return c if not isinstance(dtype, T.DateType) else c.cast("timestamp")
     if isinstance(dtype, T.NumericType):  # a bare number counts nanoseconds since 1970

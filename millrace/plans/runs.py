@@ -148,12 +148,11 @@ def preview_steps(df: DataFrame, steps: list[dict], order_by: list[str] | None =
 
 def join_report(left: DataFrame, right: DataFrame, joined: DataFrame) -> DataFrame:
     """Row counts of both sides and of the join, and its columns."""
-    def rows(df: DataFrame, name: str) -> DataFrame:
-        return df.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
-
-    counts = rows(left, "left_rows").join(rows(right, "right_rows"), "_one").join(rows(joined, "output_rows"), "_one")
-    return counts.select("left_rows", "right_rows", "output_rows", F.lit(len(joined.columns)).cast("bigint").alias("output_cols"),
-                         F.lit(",".join(joined.columns)).alias("new_columns"))
+    sides = {"left_rows": left, "right_rows": right, "output_rows": joined}
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(name)) for name, df in sides.items()]
+    every = counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return every.agg(*[F.max(F.when(F.col("side") == name, F.col("n"))).alias(name) for name in sides]).select(
+        *sides, F.lit(len(joined.columns)).cast("bigint").alias("output_cols"), F.lit(",".join(joined.columns)).alias("new_columns"))
 
 
 def clean_files(spark: SparkSession, folder: str | list[str], out: str, steps: list[dict] | None = None) -> list[dict]:

@@ -111,13 +111,20 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 15) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def _distinct_up_to(df: DataFrame, cols: list[str], enough: int) -> dict[str, int]:
+    """Distinct counts, exact where a sketch does not show far more than enough of them."""
+    seen = stats.distinct_counts(df, cols, approx=True)
+    few = [c for c in cols if seen[c] <= 10 * enough]
+    return seen | stats.distinct_counts(df, few)
+
+
 def histogram(df: DataFrame, measured: list[dict] | None = None, max_bins: int = 20) -> DataFrame:
     """Equal-width bins per numeric column; the last bin takes its upper edge too."""
     if measured is None:
         numeric = [c for c, k in kinds(df).items() if k == NUMERIC]
         ends = stats.measure(df, {**{(c, "min"): F.min(value(df, c)) for c in numeric},
                                   **{(c, "max"): F.max(value(df, c)) for c in numeric}}, fields=1)
-        unique = stats.distinct_counts(df, numeric)
+        unique = _distinct_up_to(df, numeric, max_bins)
         measured = [{"column": c, "min": ends[c, "min"], "max": ends[c, "max"], "unique": unique[c]}
                     for c in numeric if ends[c, "min"] is not None]
     plans = []

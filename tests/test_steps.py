@@ -203,3 +203,19 @@ def test_join_names_and_errors(spark):
     for bad in (lambda: merge(a, b, "k", "k", "cross"), lambda: merge(a, b, ["k"], []), lambda: merge(a, b, "k", "tag")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_datetime_formats(spark):
+    df = spark.createDataFrame([("2020-01-31",), ("1/31/2020",), ("2020/1/31 10:00:00",), ("13/13/2020",), ("soon",), (None,)], "t string")
+    got = [r.t and r.t.strftime("%Y-%m-%d %H") for r in shape.cast_types(df, {"t": "datetime"}).collect()]
+    assert got == ["2020-01-31 00", "2020-01-31 00", "2020-01-31 10", None, None, None]
+
+
+def test_no_plan_loops_over_pairs_or_leaves_the_engine(spark):
+    import __spark_entry__ as driver
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("join_outer", "join_report", "fill_ffill", "dedup_subset", "top_values", "agg_group_median", "run_mart"):
+        plan = driver.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        for unwanted in ("NestedLoop", "CartesianProduct", "PythonUDF", "EvalPython", "InPandas"):
+            assert unwanted not in plan, (name, unwanted)
