@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The steps of a run that names none.
 DEFAULT_STEPS = [
     {"type": "snake_case_columns", "config": {}},
     {"type": "drop_duplicates", "config": {}},
@@ -12,7 +13,7 @@ DEFAULT_STEPS = [
     {"type": "remove_outliers", "config": {"method": "iqr", "threshold": 1.5}},
 ]
 
-# Cleaning of raw files that come in batches.
+# Cleaning of raw files that come in batches.
 BATCH_STEPS = [
     {"type": "snake_case_columns", "config": {}},
     {"type": "drop_duplicates", "config": {}},
@@ -27,6 +28,7 @@ def _steps(*named: tuple) -> list[dict]:
     return [{"type": name, "config": config} for name, config in [*opening, *named]]
 
 
+# What makes a sale high or medium.
 _SALES_CATEGORY = {
     "name": "revenue_category",
     "expression": "CASE WHEN amount > 10000 THEN 'high' WHEN amount > 1000 THEN 'medium' ELSE 'low' END",

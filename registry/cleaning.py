@@ -197,7 +197,8 @@ def _cast(s, d):
         "o_orderstatus AS not_a_time", "o_custkey AS as_text", "o_custkey AS as_bool")
     return shape.cast_types(made, {
         "as_int": "int", "as_float": "float", "not_a_number": "int", "whole_only": "int", "as_time": "datetime",
-        "not_a_time": "datetime", "as_text": "string", "as_bool": "bool", "nowhere": "int"})
+        "not_a_time": "datetime", "as_text": "string", "as_bool": "bool", "nowhere": "int"}).withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("as_time", "not_a_time")})
 
 
 query("cast_types", """

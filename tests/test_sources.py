@@ -117,3 +117,17 @@ def test_one_column_and_counting(spark, tmp_path):
 def test_long_rows_with_empty_and_quoted_fields(spark, tmp_path):
     df = read.read_dataset(spark, put(tmp_path, "long.csv", 'a,b\n1,x\n2,y,,z\n3,"p,q"\n4,"p,q",\n"5,6"\n'))
     assert sorted(map(tuple, df.collect()), key=str) == sorted([("1", "x"), ("3", "p,q"), ("5,6", None)], key=str)
+
+
+def test_views_and_tables(spark, tmp_path):
+    df = spark.range(3)
+    assert read.read_table(spark, "staged_ids").count() == 3 if write.stage_view(df, "staged_ids") else False
+    assert write.save_table(df, "kept_ids", str(tmp_path / "kept")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 3
+
+
+def test_empty_join_is_saved(spark, tmp_path):
+    from millrace.operators.joins import merge
+
+    joined = merge(spark.range(3), spark.range(10, 12), "id", "id")
+    assert write.save_join(joined, str(tmp_path), str(tmp_path / "datasets"))["rows"] == 0
