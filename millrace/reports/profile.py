@@ -133,15 +133,18 @@ def histogram(df: DataFrame, measured: list[dict] | None = None, max_bins: int =
         if lo == hi:
             lo, hi = lo - 0.5, hi + 0.5
         plans.append((s["column"], lo, hi, min(max_bins, max(s["unique"], 2))))
-    placed = []
-    for c, lo, hi, n in plans:
-        v, width = value(df, c).cast("double"), (hi - lo) / n
-        at = F.least(F.floor((v - lo) / (hi - lo) * n).cast("int"), F.lit(n - 1))
-        at = F.when(v < F.lit(lo) + at * F.lit(width), at - 1).when(
-            (at < n - 1) & (v >= F.lit(lo) + (at + 1) * F.lit(width)), at + 1).otherwise(at)
-        placed.append(F.when(v.isNotNull(), at))
+    # The first guess by division can be one bin off an edge; the edges decide.
     slots = [str(i) for i in range(len(plans))]
-    counted = (df.select(*[p.alias(s) for p, s in zip(placed, slots)]).unpivot([], slots, "slot", "bin")
+    guessed, placed = [], []
+    for s, (c, lo, hi, n) in zip(slots, plans):
+        v, b, width = F.col(f"v{s}"), F.col(f"b{s}"), F.lit((hi - lo) / n)
+        number = value(df, c).cast("double")
+        guess = F.least(F.floor((number - lo) / (hi - lo) * n).cast("int"), F.lit(n - 1))
+        guessed += [number.alias(f"v{s}"), guess.alias(f"b{s}")]
+        below = (v < F.lit(lo) + b * width).cast("int")
+        above = ((b < n - 1) & (v >= F.lit(lo) + (b + 1) * width)).cast("int")
+        placed.append(F.when(v.isNotNull(), b - below + above).alias(s))
+    counted = (df.select(*guessed).select(*placed).unpivot([], slots, "slot", "bin")
                .filter("bin is not null").groupBy("slot", "bin").count())
     edges = [(str(i), c, b, round(lo + b * (hi - lo) / n, 2), round(hi if b == n - 1 else lo + (b + 1) * (hi - lo) / n, 2))
              for i, (c, lo, hi, n) in enumerate(plans) for b in range(n)]
