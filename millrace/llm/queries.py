@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.sources.scratch import scratch_path
 
@@ -13,6 +14,7 @@ from .quality_classifier import fit_classifier, score_quality
 from .quality_rules import apply_rules, fit_forest
 from .secrets import scan_secrets, secret_report
 from .sentencepieces import round_trip
+from .simhash import hex_fingerprint, near_duplicates
 from .token_counts import count_tokens
 from .token_files import document_table, write_tokens
 
@@ -60,6 +62,12 @@ def op4(spark, sf):
     return apply_rules(docs, fit_forest(docs, _labels(spark, sf)))
 
 
+@query("op5_simhash")
+def op5(spark, sf):
+    found = near_duplicates(_documents(spark, sf), shingle=3, radius=3)
+    return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 @query("op6_secret_scan")
 def op6(spark, sf):
     return secret_report(scan_secrets(_documents(spark, sf)))
