@@ -15,6 +15,7 @@ from .quality_rules import apply_rules, fit_forest
 from .secrets import scan_secrets, secret_report
 from .sentencepieces import round_trip
 from .simhash import hex_fingerprint, near_duplicates
+from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
 from .token_files import document_table, write_tokens
 
@@ -92,3 +93,8 @@ def op8(spark, sf):
 @query("op9_token_files")
 def op9(spark, sf):
     return document_table(write_tokens(_documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "tokens"), end_id=1))
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf):
+    return remove_repeats(_documents(spark, sf), length=200)
