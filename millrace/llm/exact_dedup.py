@@ -237,3 +237,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(live, "digest", "left").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("row") == F.col("keep_row")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, whose text `exact_dedup` keeps; rows that repeat id and text count once.
+
+    Rows are known by id and digest, so that null and repeated ids are safe.
+    """
+    @F.pandas_udf("binary")
+    def digest(texts):
+        return texts.map(lambda t: text_digest(t or ""))
+
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_of"))
+    named = docs.withColumn("_digest", digest(F.col(text_col))).dropDuplicates([id_col, "_digest"])
+    return named.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_of")), "left_semi").drop("_digest")
