@@ -286,7 +286,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = _BUCKET, id
         raise ValueError("length must be from 40 to 300")
     texts = texts_of(docs, id_col, text_col)
     rows = settle(phrase_rows(texts, length), "phrases")
-    again = rows.groupBy("core").count().where("count > 1").select("core")
+    # Counts are written before they are joined, so that a frequent core is split among tasks by the join.
+    again = settle(rows.groupBy("core").count().where("count > 1").select("core"), "again")
     shared = settle(rows.join(again, "core", "left_semi"), "shared")
     _release(docs)
     dictionary = settle(shared.groupBy("core", "reach").agg(F.count("*").alias("n"), F.min(F.struct("uid", "loc")).alias("one")), "dictionary")
@@ -297,7 +298,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = _BUCKET, id
     whole = shared.join(dictionary.where("n > 1").select("core", "reach"), ["core", "reach"]).select("uid", first.alias("start"), (first + width).alias("stop"))
 
     # Where one trigger text has several phrases, those found once may be repeated in part.
-    mixed = dictionary.groupBy("core").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1")
+    mixed = settle(dictionary.groupBy("core").agg(F.count("*").alias("many"), F.min("n").alias("least")).where("many > 1 AND least = 1"), "mixed")
     asked = dictionary.join(mixed, "core").select(
         F.col("one.uid").alias("uid"), F.struct("core", F.col("one.loc").alias("loc"), (F.col("n") == 1).alias("single"), (F.col("many") > bucket).alias("large")).alias("w"))
     asked = asked.groupBy("uid").agg(F.collect_list("w").alias("wanted"))
