@@ -25,16 +25,16 @@ _LONGEST = 64
 def frequent_words(docs: DataFrame, most: int = 20_000, tracked: int = 65_536, text_col: str = "text") -> list[str]:
     """About the `most` most frequent words between blanks and line ends of all texts.
 
-    Each task keeps a frequent-items sketch of `tracked` words; sketches are
-    combined in two steps, so that no task gets more than a 256th of them and
-    the last one gets 256.
+    Each task keeps a frequent-items sketch of `tracked` words for its part;
+    the sketches of a 256th of the tasks are merged, and the `most` items of
+    each of these 256 are added up, so that what is shuffled beyond sketches
+    has 256 * `most` rows however large the table is.
     """
     words = docs.select(F.explode(F.split(F.translate(F.col(text_col), "\n", " "), " ")).alias("word"), (F.spark_partition_id() % 256).alias("part"))
     words = words.where((F.col("word") != "") & (F.octet_length("word") <= _LONGEST))
-    sketches = words.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(word, {tracked})").alias("sketch"))
-    combined = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
-    found = combined.select(F.expr(f"approx_top_k_estimate(sketch, {most})").alias("top")).collect()
-    return [r["item"] for r in found[0]["top"] or [] if r["item"] is not None] if found else []
+    tops = words.groupBy("part").agg(F.expr(f"approx_top_k(word, {most}, {tracked})").alias("top")).select(F.explode("top").alias("e"))
+    found = tops.groupBy("e.item").agg(F.sum("e.count").alias("n")).orderBy(F.desc("n"), "item").limit(most)
+    return [r["item"] for r in found.collect() if r["item"] is not None]
 
 
 class Lengths(dict):
