@@ -248,6 +248,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def digest(texts):
         return texts.map(lambda t: text_digest(t or ""))
 
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.unhex("text_sha256").alias("_of"))
-    named = docs.withColumn("_digest", digest(F.col(text_col))).dropDuplicates([id_col, "_digest"])
-    return named.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_of")), "left_semi").drop("_digest")
+    free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so that none of these clashes
+    of, keep, kept_of = f"{free}of", f"{free}keep", f"{free}kept"
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(keep), F.unhex("text_sha256").alias(kept_of))
+    named = docs.withColumn(of, digest(F.col(text_col))).dropDuplicates([id_col, of])
+    return named.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.col(of) == F.col(kept_of)), "left_semi").drop(of)

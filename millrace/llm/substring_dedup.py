@@ -58,7 +58,7 @@ class Parser:
 
     def __init__(self, length: int):
         self.length = length
-        self.reach = length * 4 // 5  # positions among which a trigger is chosen
+        self.reach = min(length * 4 // 5, length - _GRAM + 1)  # positions among which a trigger is chosen, inside the window
         self.codes = _mix(np.arange(1, 257, dtype=_U) * _U(_FACTOR))
         self.size = 0
         self._powers(1 << 16)
