@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import settle
 from .columns import col
+from .stats import value
 
 GROUP_LIMIT = 5_000_000  # rows of one group that one task may sort
 _RANGE = "_range"
@@ -151,7 +152,7 @@ def ranks(df, keys, order, out, dense=False, limit=GROUP_LIMIT, ranges=None):
 
 def group_quantiles(df, keys, column, probs, limit=GROUP_LIMIT, ranges=None):
     """Exact quantiles per group as an array column `quantiles`, null groups dropped."""
-    table = (df.filter(col(column).isNotNull()).groupBy(*[col(k) for k in keys], col(column).cast("double").alias("_v"))
+    table = (df.filter(value(df, column).isNotNull()).groupBy(*[col(k) for k in keys], col(column).cast("double").alias("_v"))
              .agg(F.count(F.lit(1)).alias("_n")))
     placed = running_totals(table, keys, ["_v"], "_n", "_before", limit, ranges)
     totals = table.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_total"))

@@ -89,10 +89,19 @@ def fill_missing(df: DataFrame, strategy: str = "median", columns: list[str] | N
 
 def fill_by_type(df: DataFrame) -> DataFrame:
     """Numbers by their median; texts by a mark, then stripped."""
+    return apply_by_type(df, fit_by_type(df))
+
+
+def fit_by_type(df: DataFrame, only_missing: bool = True) -> dict:
+    cols = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
+    return fit_fill(df, "median", cols, only_missing=only_missing) if cols else {}
+
+
+def apply_by_type(df: DataFrame, fitted: dict) -> DataFrame:
     from .shape import trim_strings
 
     cols = [f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.StringType))]
-    return trim_strings(fill_missing(df, "median", cols)) if cols else df
+    return trim_strings(apply_fill(df, fitted, "median")) if cols else df
 
 
 def fill_report(df: DataFrame, strategy: str = "median", columns: list[str] | None = None, value=None) -> DataFrame:

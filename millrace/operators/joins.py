@@ -1,84 +1,33 @@
-"""Equality joins in which null matches null and hot keys are spread."""
+"""Equality joins in which null matches null."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import col, kind
 from ..functions.ordered import same
 
-HOT_ROWS = 5_000_000  # rows of one key that one task may take
-_HOT_KEYS = 200  # heaviest keys that get their own treatment
 _JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
 
 
-def hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> list[tuple[tuple, int]]:
-    """The heaviest key values with their row counts, counted with map-side combine."""
-    counted = df.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-    top = counted.filter(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(_HOT_KEYS).collect()
-    return [(tuple(r)[:-1], r["_n"]) for r in top]
-
-
-def _is_one_of(df: DataFrame, keys: list[str], values: list[tuple]) -> Column:
-    if not values:
-        return F.lit(False)
-    types = [df.schema[k].dataType for k in keys]
-    return reduce(lambda a, b: a | b,
-                  [same([col(k) for k in keys], [F.lit(v).cast(t) for v, t in zip(vs, types)]) for vs in values])
-
-
-def matched(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str,
-            hot_rows: int = HOT_ROWS) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, left_on: list[str], right_on: list[str], how: str) -> DataFrame:
     """Null-safe equi-join of two tables without common column names.
 
-    Rows of a key that is hot on one side are salted there and the other side's
-    rows of that key are repeated once per salt.  A hot key certainly has rows
-    on its own side, so only that side can be left without a partner, and each
-    of its rows sees all partners: the pieces add up to the plain join.
+    Adaptive execution splits the partitions of hot keys in inner and one-sided
+    joins by what was shuffled, with nothing counted beforehand.  It cannot
+    split a full join, so that is a left join and the right rows without a
+    partner.
     """
-    def join(l: DataFrame, r: DataFrame, kind_: str, extra: Column | None = None) -> DataFrame:
-        on = same([col(k) for k in left_on], [col(k) for k in right_on])
-        return l.join(r, on if extra is None else on & extra, kind_)
-
-    hot_left, hot_right = hot_keys(left, left_on, hot_rows), hot_keys(right, right_on, hot_rows)
-    if not hot_left and not hot_right:
-        return join(left, right, how)
-    weight_right = dict(hot_right)
-    by_left = [(v, n) for v, n in hot_left if n >= weight_right.get(v, 0)]
-    chosen = {v for v, _ in by_left}
-    by_right = [(v, n) for v, n in hot_right if v not in chosen]
-    everything = [v for v, _ in by_left + by_right]
-    cold_left = left.filter(~_is_one_of(left, left_on, everything))
-    cold_right = right.filter(~_is_one_of(right, right_on, everything))
-    parts = [join(cold_left, cold_right, how)]
-    names = left.columns + right.columns
-    for values, salted, salted_on, other, other_on, keeps in (
-        (by_left, left, left_on, right, right_on, how in ("left", "full")),
-        (by_right, right, right_on, left, left_on, how in ("right", "full")),
-    ):
-        if not values:
-            continue
-        salts = min(1024, max(n for _, n in values) // hot_rows + 1)
-        only = [v for v, _ in values]
-        whole_row = F.xxhash64(*[c for c in salted.columns if not isinstance(salted.schema[c].dataType, T.MapType)])
-        spread = salted.filter(_is_one_of(salted, salted_on, only)).withColumn("_salt", F.pmod(whole_row, F.lit(salts)))
-        copied = other.filter(_is_one_of(other, other_on, only)).withColumn(
-            "_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        extra = F.col("_salt") == F.col("_copy")
-        if salted is left:
-            parts.append(join(spread, copied, "left" if keeps else "inner", extra).select(*[col(c) for c in names]))
-        else:
-            parts.append(join(copied, spread, "right" if keeps else "inner", extra).select(*[col(c) for c in names]))
-    return reduce(DataFrame.unionByName, parts)
+    on = same([col(k) for k in left_on], [col(k) for k in right_on])
+    if how != "full":
+        return left.join(right, on, how)
+    alone = right.join(left.select(*[col(k) for k in left_on]), on, "left_anti")
+    return left.join(right, on, "left").unionByName(alone, allowMissingColumns=True)
 
 
 def merge(left: DataFrame, right: DataFrame, left_key: str | list[str], right_key: str | list[str],
-          join_type: str = "inner", suffixes: tuple[str, str] = ("_left", "_right"),
-          hot_rows: int = HOT_ROWS) -> DataFrame:
+          join_type: str = "inner", suffixes: tuple[str, str] = ("_left", "_right")) -> DataFrame:
     """Join on one or more key pairs; null keys match each other.
 
     Keys of the same name become one column, other common names get a suffix.
@@ -103,7 +52,7 @@ def merge(left: DataFrame, right: DataFrame, left_key: str | list[str], right_ke
     r = right.toDF(*[f"r{i}" for i in range(len(right.columns))])
     l_at = {c: f"l{i}" for i, c in enumerate(left.columns)}
     r_at = {c: f"r{i}" for i, c in enumerate(right.columns)}
-    joined = matched(l, r, [l_at[k] for k in left_on], [r_at[k] for k in right_on], how, hot_rows)
+    joined = matched(l, r, [l_at[k] for k in left_on], [r_at[k] for k in right_on], how)
     out = []
     for c in left.columns:
         if c in shared:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.columns import col, flat, is_nested, numeric_columns
-from ..functions.stats import measure, moments, quantiles, value
+from ..functions.columns import col, flat, is_floating, is_nested, numeric_columns
+from ..functions.stats import measure, moments, quantiles
+from ..functions.stats import value as value_of
 
 
 def _comparable(df: DataFrame, name: str, wanted, convert: bool = False) -> Column | None:
@@ -19,6 +23,8 @@ def _comparable(df: DataFrame, name: str, wanted, convert: bool = False) -> Colu
         if isinstance(wanted, str) and not convert:
             return None
         try:
+            if isinstance(wanted, str):
+                wanted = int(wanted) if re.fullmatch(r"\s*[+-]?\d+\s*", wanted) else float(wanted)
             return F.lit(wanted if isinstance(wanted, (int, float)) else float(wanted))
         except (TypeError, ValueError):
             return None
@@ -41,7 +47,9 @@ def filter_rows(df: DataFrame, column: str | None = None, operator: str | None =
         limit = _comparable(df, column, value, convert=True)
         if limit is None:
             raise ValueError(f"{column!r} does not compare with {value!r}")
-        return df.filter({"gt": c > limit, "gte": c >= limit, "lt": c < limit, "lte": c <= limit}[test])
+        kept = df.filter({"gt": c > limit, "gte": c >= limit, "lt": c < limit, "lte": c <= limit}[test])
+        # Not-a-number is above everything, yet passes no comparison.
+        return kept.filter(~F.isnan(c)) if test in ("gt", "gte") and is_floating(df.schema[column].dataType) else kept
     if test == "eq":
         wanted = _comparable(df, column, value)
         return df.filter(F.lit(False) if wanted is None else c == wanted)
@@ -106,8 +114,8 @@ def outlier_bounds(df: DataFrame, columns: list[str] | None = None, method: str
             out[c] = (None, None) if q1 is None else (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
         return out
     if method == "zscore":
-        got = measure(df, {**{(c, "mean"): F.avg(value(df, c)) for c in cols},
-                           **{(c, "std"): F.stddev_samp(value(df, c)) for c in cols}})
+        got = measure(df, {**{(c, "mean"): F.avg(value_of(df, c)) for c in cols},
+                           **{(c, "std"): F.stddev_samp(value_of(df, c)) for c in cols}})
         return {c: (got[c, "mean"], got[c, "std"]) for c in cols}
     return {}
 
@@ -121,9 +129,13 @@ def keep_within(df: DataFrame, fitted: dict, method: str = "iqr", threshold: flo
         if c not in df.columns:
             continue
         if method == "iqr":
-            inside = col(c).isNull() if a is None else (col(c).between(F.lit(a), F.lit(b)) | col(c).isNull())
+            low, high = (a, b) if a is None or not isinstance(df.schema[c].dataType, T.IntegralType) else (math.ceil(a), math.floor(b))
+            v = value_of(df, c)
+            # Whole bounds for whole numbers need no cast and reach the scan.  Not-a-number is above every
+            # lower bound, which so stays a bare comparison; the upper one has to let it pass.
+            inside = v.isNull() if a is None else ((col(c) >= F.lit(low)) | col(c).isNull()) & ((v <= F.lit(high)) | v.isNull())
         else:
-            inside = F.lit(False) if a is None or not b else F.abs((col(c) - F.lit(a)) / F.lit(b)) <= threshold
+            inside = F.lit(False) if a is None or not b else F.abs((value_of(df, c) - F.lit(a)) / F.lit(b)) <= threshold
         df = df.filter(inside)
     return df
 

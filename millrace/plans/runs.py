@@ -70,7 +70,7 @@ def run_stages(spark: SparkSession, source: str | DataFrame, stages: list[dict],
     Unknown types are logged and skipped.  A failure is recorded, then raised.
     """
     journal = Journal(spark, folder)
-    rows_in = None
+    rows_in, status = None, "success"
     try:
         df = source if isinstance(source, DataFrame) else read_dataset(spark, source)
         rows_in = df.count()
@@ -83,6 +83,7 @@ def run_stages(spark: SparkSession, source: str | DataFrame, stages: list[dict],
             if kind in ("transform", "spark_transform"):
                 done = run_steps(df, config.get("operations", []) if kind == "transform" else [config])
                 df = settle(done.df)
+                status = "partial" if done.status == "partial" else status
                 summary[f"{kind}_{i}"] = done.log
                 journal.note("INFO", name, f"{df.count()} rows out")
             elif kind == "dq_check":
@@ -96,7 +97,7 @@ def run_stages(spark: SparkSession, source: str | DataFrame, stages: list[dict],
             else:
                 journal.note("WARN", name, f"unknown stage type '{kind}', skipped")
         output = f"{folder.rstrip('/')}/output_{journal.run_id}.csv"
-        settled = settle(df)
+        settled = settle(df)  # a stage after the last transform may read the table anew
         rows_out = settled.count()
         write.write_csv(settled, output)
         journal.note("INFO", "load", f"{rows_out} rows written")
@@ -104,7 +105,7 @@ def run_stages(spark: SparkSession, source: str | DataFrame, stages: list[dict],
         journal.note("ERROR", "engine", str(e).splitlines()[0])
         journal.close("failed", rows_in, None, None, trigger)
         raise
-    journal.close("success", rows_in, rows_out, output, trigger)
+    journal.close(status, rows_in, rows_out, output, trigger)
     return {"run_id": journal.run_id, "rows_in": rows_in, "rows_out": rows_out, "output_path": output, "summary": summary}
 
 
@@ -127,7 +128,7 @@ def run_report(spark: SparkSession, source: str | DataFrame, folder: str, steps:
         journal.note("ERROR", "engine", str(e).splitlines()[0])
         journal.close("failed", rows_in, None, None, "manual")
         raise
-    journal.close("success", rows_in, written["rows"], written["csv_path"], "manual")
+    journal.close(done.status, rows_in, written["rows"], written["csv_path"], "manual")
     return {
         "run_id": journal.run_id, "input_rows": rows_in, "output_rows": written["rows"],
         "rows_removed": rows_in - written["rows"], "log": done.log_frame(spark), "reports": found, "model": model,
@@ -168,7 +169,8 @@ def clean_files(spark: SparkSession, folder: str | list[str], out: str, steps: l
             df = read_dataset(spark, path) if suffix(path) != "tsv" else read_delimited(spark, path, sep="\t")
             done = run_steps(df, steps or BATCH_STEPS)
             target = write.write_csv(done.df, f"{out.rstrip('/')}/clean_{name}", "overwrite")
-            report.append({"file": name, "status": "success", "path": target, "error": None})
+            errors = "; ".join(f"{e['step']}: {e['error']}" for e in done.log if e["status"] == "failed")
+            report.append({"file": name, "status": done.status, "path": target, "error": errors or None})
         except Exception as e:  # noqa: BLE001 - the other files go on
             report.append({"file": name, "status": "failed", "path": None, "error": str(e).splitlines()[0]})
     return report

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import fill, group, rows, scale, shape
@@ -25,6 +26,10 @@ class Step:
     fit: Callable[..., Any] | None = None
     keeps_rows: bool = True
     shuffles: bool = False
+    by_row: bool = True  # fitted, each row is treated by itself
+
+    def moves_rows(self, config: dict) -> bool:
+        return self.shuffles or config.get("strategy") in ("ffill", "bfill")
 
 
 def _fit_fill(df, strategy="median", columns=None, value=None, only_missing=True):
@@ -45,15 +50,11 @@ def _scaler(method: str) -> Step:
     return Step(lambda df, fitted: scale.apply_scale(df, fitted), lambda df, columns=None: scale.fit_scale(df, method, columns))
 
 
-def _whole_batch(df):
-    return fill.fill_by_type(df)
-
-
 STEPS: dict[str, Step] = {
-    "drop_duplicates": Step(rows.drop_duplicates, keeps_rows=False, shuffles=True),
+    "drop_duplicates": Step(rows.drop_duplicates, keeps_rows=False, shuffles=True, by_row=False),
     "drop_nulls": Step(rows.drop_nulls, keeps_rows=False),
     "fill_missing": Step(_apply_fill, _fit_fill),
-    "fill_by_type": Step(_whole_batch),
+    "fill_by_type": Step(fill.apply_by_type, fill.fit_by_type),
     "drop_missing": Step(_drop_fitted, lambda df, threshold_pct=50: shape.sparse_columns(df, threshold_pct / 100)),
     "drop_high_null": Step(_drop_fitted, lambda df, threshold=0.8: shape.sparse_columns(df, threshold)),
     "keep_low_null": Step(_drop_fitted, lambda df, threshold=0.8: shape.sparse_columns(df, threshold, inclusive=True)),
@@ -65,7 +66,7 @@ STEPS: dict[str, Step] = {
     "drop_columns": Step(shape.drop_columns),
     "snake_case_columns": Step(shape.snake_case_columns),
     "trim_strings": Step(shape.trim_strings),
-    "aggregate": Step(group.aggregate, keeps_rows=False, shuffles=True),
+    "aggregate": Step(group.aggregate, keeps_rows=False, shuffles=True, by_row=False),
     "derive_column": Step(shape.derive_column),
     "bucket_column": Step(shape.bucket_column),
     "remove_outliers": Step(
@@ -73,10 +74,12 @@ STEPS: dict[str, Step] = {
         lambda df, columns=None, method="iqr", threshold=1.5: rows.outlier_bounds(df, columns, method, float(threshold)),
         keeps_rows=False),
     "repartition": Step(shape.repartition, shuffles=True),
-    "window": Step(group.window, shuffles=True),
-    "sql": Step(group.sql_step, keeps_rows=False, shuffles=True),
+    "window": Step(group.window, shuffles=True, by_row=False),
+    "sql": Step(group.sql_step, keeps_rows=False, shuffles=True, by_row=False),
     "passthrough": Step(shape.passthrough),
 }
+#: What a setting that does not fit the table raises. Failures of Spark jobs are none of these.
+BAD_SETTINGS = (AnalysisException, ParseException, ValueError, TypeError, KeyError)
 OTHER_NAMES = {
     "deduplicate": "drop_duplicates", "cast": "cast_types", "snake_case_cols": "snake_case_columns",
     "spark_repartition": "repartition",
@@ -123,6 +126,11 @@ class Result:
     df: DataFrame
     log: list[dict] = field(default_factory=list)
 
+    @property
+    def status(self) -> str:
+        """success, or partial if a step was left out."""
+        return "partial" if any(e["status"] == "failed" for e in self.log) else "success"
+
     def log_frame(self, spark: SparkSession) -> DataFrame:
         names = ("step", "status", "rows_before", "rows_after", "rows_delta", "duration_s", "error")
         return spark.createDataFrame([(i + 1, *[e.get(n) for n in names]) for i, e in enumerate(self.log)], STEP_LOG)
@@ -131,7 +139,8 @@ class Result:
 def run_steps(df: DataFrame, steps: list[dict], metrics: bool = False) -> Result:
     """Fold the steps over the table.
 
-    A step that fails is logged and left out, an unknown one is skipped.  Before
+    A step whose settings do not fit is logged and left out, an unknown one is
+    skipped; a Spark job that fails is raised.  Before
     a step measures the table, the outcome of an earlier shuffle is written once,
     so that neither the measuring nor the final pass repeats it.  `metrics` adds
     row counts to the log; only steps that can change the count are counted.
@@ -149,7 +158,7 @@ def run_steps(df: DataFrame, steps: list[dict], metrics: bool = False) -> Result
             if unsettled and step.fit:
                 result.df, unsettled = settle(result.df), False
             after = apply_step(result.df, name, config, fit_step(result.df, name, config))
-            unsettled = unsettled or step.shuffles
+            unsettled = unsettled or step.moves_rows(config)
             if metrics and not step.keeps_rows:
                 if unsettled:
                     after, unsettled = settle(after), False
@@ -158,7 +167,7 @@ def run_steps(df: DataFrame, steps: list[dict], metrics: bool = False) -> Result
             entry["status"] = "success"
             if metrics:
                 entry |= {"rows_after": count, "rows_delta": entry["rows_before"] - count}
-        except Exception as e:  # noqa: BLE001 - the run goes on without the step
+        except BAD_SETTINGS as e:  # the run goes on without the step; a job that fails ends it
             entry |= {"status": "failed", "error": str(e).splitlines()[0]}
         entry["duration_s"] = round(time.monotonic() - started, 3)
         result.log.append(entry)
@@ -172,9 +181,9 @@ def fit_steps(df: DataFrame, steps: list[dict]) -> list[dict]:
         name, config = describe_step(written)
         if name not in STEPS:
             continue
-        if name == "fill_missing":
+        if name in ("fill_missing", "fill_by_type"):
             config = {**config, "only_missing": False}
-        if STEPS[name].fit and any(STEPS[f["name"]].shuffles for f in fitted):
+        if STEPS[name].fit and any(STEPS[f["name"]].moves_rows(f["config"]) for f in fitted):
             df = settle(df)
         state = fit_step(df, name, config)
         fitted.append({"name": name, "config": config, "fitted": state})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.columns import col, numeric_columns
+from ..functions.ordered import group_quantiles
 from ..functions.stats import value
 from .profile import pearson
 
@@ -24,6 +25,11 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def total_of(df: DataFrame, column: str, fn: str, by: str | None = None) -> DataFrame:
     """mean, sum, min, max or median of a column, for the table or per group."""
+    if fn == "median" and by is not None:
+        found = group_quantiles(df.dropna(subset=[by]), [by], column, [0.5])
+        every = df.dropna(subset=[by]).select(col(by)).distinct().join(
+            found.withColumnsRenamed({by: "_by"}), col(by).eqNullSafe(F.col("_by")), "left")
+        return every.select(col(by), F.col("quantiles")[0].alias("median")).orderBy(col(by))
     if fn == "median":
         return df.sparkSession.createDataFrame([(stats.quantiles(df, [column], [0.5])[column][0],)], "median double")
     made = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max}[fn](value(df, column)).alias(fn)

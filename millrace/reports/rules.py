@@ -47,13 +47,15 @@ def _as_text_row(df: DataFrame) -> Column:
 
 
 def _examples(df: DataFrame, rows: DataFrame, order_by: list[str], n: int) -> list[list[str]]:
-    return [r.row for r in rows.orderBy(*[col(c) for c in order_by]).limit(n).select(_as_text_row(df).alias("row")).collect()]
+    return [r.row for r in rows.orderBy(*[flat(df, c) for c in order_by]).limit(n).select(_as_text_row(df).alias("row")).collect()]
 
 
-def _repeated_rows(df: DataFrame) -> DataFrame:
-    """Each row that occurs again, once per repeat beyond the first, without listing a whole group."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(2), F.least(F.col("_copies"), F.lit(6))))).drop("_copies", "_copy")
+def _repeated_rows(df: DataFrame, n: int) -> DataFrame:
+    """Each row that occurs again, once per repeat beyond the first, `n` times at most: more of one row are never shown."""
+    keys = [flat(df, c).alias(f"_k{i}") for i, c in enumerate(df.columns)]  # maps are compared as text
+    copies = df.groupBy(*keys).agg(F.first(F.struct(*[col(c) for c in df.columns])).alias("_row"), F.count(F.lit(1)).alias("_copies"))
+    copies = copies.filter("_copies > 1").select("_row.*", "_copies")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(2), F.least(F.col("_copies"), F.lit(n + 1))))).drop("_copies", "_copy")
 
 
 def _copies_of_key(df: DataFrame, column: str) -> DataFrame:
@@ -104,7 +106,7 @@ def run_rules(df: DataFrame, rules: list[dict], order_by: list[str] | None = Non
             status = "passed" if total >= least else bad_status
         elif kind == "no_duplicates":
             expected, actual, bad = "0 duplicate rows", f"{copies} duplicate rows", copies
-            broken_rows = lambda: _repeated_rows(df)
+            broken_rows = lambda: _repeated_rows(df, examples)
         elif c not in have:
             actual, status = f"Column '{c}' not found", "failed"
         elif i in errors:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import csv
-import json
 import os
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +29,6 @@ def _split_header(line: str, sep: str, quote: str = '"') -> list[str]:
     return next(csv.reader([line], delimiter=sep, quotechar=quote), [])
 
 
-def _first_line(spark: SparkSession, path) -> str:
-    for row in spark.read.text(path).filter(F.trim("value") != "").limit(1).collect():
-        return row.value.lstrip("﻿").rstrip("\r")
-    return ""
-
-
 def sniff_delimiter(line: str, default: str = "\t") -> str:
     """The delimiter that splits the line into most fields, quotes respected."""
     fields = {sep: len(_split_header(line, sep)) for sep in _DELIMITERS}
@@ -41,10 +36,19 @@ def sniff_delimiter(line: str, default: str = "\t") -> str:
     return best if fields[best] > 1 else default
 
 
-def _has_open_quotes(spark: SparkSession, path) -> bool:
-    """Whether some line leaves a quote open, so that a record goes over several lines."""
+def _layouts(spark: SparkSession, path) -> list[tuple[str, bool, list[str]]]:
+    """(first line, whether a record goes over several lines, files) of each kind of file, from one pass over the lines."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+    files = lines.groupBy("file").agg(
+        F.min_by("value", F.when(F.trim("value") != "", F.col("at"))).alias("first"), F.max(quotes % 2 == 1).alias("open"))
+    found: dict[tuple[str, bool], list[str]] = {}
+    for r in files.orderBy("file").collect():  # one row per file, as in the listing
+        if r.first is not None:
+            found.setdefault((r.first.lstrip("\ufeff").rstrip("\r"), r.open), []).append(unquote(r.file))
+    return [(first, many, names) for (first, many), names in found.items()]
 
 
 def _header_names(raw: list[str]) -> list[str]:
@@ -57,18 +61,9 @@ def _header_names(raw: list[str]) -> list[str]:
     return names
 
 
-def read_delimited(spark: SparkSession, path, sep: str | None = ",", infer: bool = True,
-                   schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
-    """Header files: rows with too many fields are left out, short rows are padded with null.
-
-    With `infer`, columns become bigint, double, boolean or text from one
-    counting pass; dates stay text.  Files are split among tasks unless some
-    record goes over several lines (`multi_line=None` looks for that).
-    """
-    header = _first_line(spark, path)
+def _cells(spark: SparkSession, path, header: str, sep: str | None, multi_line: bool) -> DataFrame:
+    """Cells of files with one header as text, under the header's names."""
     sep = sep or sniff_delimiter(header)
-    if multi_line is None:
-        multi_line = _has_open_quotes(spark, path)
     if multi_line and header.count('"') % 2:
         raise ValueError("the header goes over several lines")
     names = _header_names(_split_header(header, sep))
@@ -83,7 +78,29 @@ def read_delimited(spark: SparkSession, path, sep: str | None = ",", infer: bool
     fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
     first = F.col("c0")  # a test has to name a real column too, or a count would read only the mark
     kept = raw.filter((F.col(_UNEVEN).isNull() | (fields <= len(slots))) & (first.isNull() | (F.length(first) >= 0)))
-    cells = kept.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(c) for c in slots])
+    return kept.select(*[F.when(~F.col(c).isin(MISSING_TEXTS), F.col(c)).alias(n) for c, n in zip(slots, names)])
+
+
+def read_delimited(spark: SparkSession, path, sep: str | None = ",", infer: bool = True,
+                   schema: T.StructType | str | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Header files: rows with too many fields are left out, short rows are padded with null.
+
+    Files of a folder may differ in header: columns are matched by name, and one
+    that a file lacks is null there.  With `infer`, columns become bigint,
+    double, boolean or text from one counting pass; dates stay text.  Files are
+    split among tasks unless some of their records goes over several lines
+    (`multi_line=None` looks for that, file by file).
+    """
+    layouts = _layouts(spark, path)
+    parts = [_cells(spark, files if len(layouts) > 1 else path, header, sep, open_ if multi_line is None else multi_line)
+             for header, open_, files in layouts]
+    if not parts:
+        return spark.createDataFrame([], schema or T.StructType([]))
+    by_name = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = by_name.columns
+    refuse_case_twins(names)
+    slots = [f"c{i}" for i in range(len(names))]
+    cells = by_name.toDF(*slots)
     if schema is not None:
         given = spark.createDataFrame([], schema).schema
         types = {c: f.dataType.simpleString() for c, f in zip(slots, given)}
@@ -139,21 +156,35 @@ def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = Non
     """A top-level array gives one row per element, an object one row.
 
     Files with one complete value per line are split among tasks; a value over
-    several lines makes its file one document (`by_line=None` looks at the start).
+    several lines makes its file one document, read by one task.
+    `by_line=None` tells them apart file by file, by all their lines: a line
+    file has at least as many complete lines as broken ones.  A broken line
+    stays as a row, with its text in `_corrupt_record`.
     """
-    if by_line is None:
-        by_line = _is_complete_json(_first_line(spark, path))
+    if by_line is not None:
+        return _read_json(spark, path, by_line, schema)
+    complete = F.trim("value").rlike(r"^(\[.*\]|\{.*\})\r?$") & F.try_parse_json(F.col("value")).isNotNull()
+    files = (spark.read.text(path).filter(F.trim("value") != "").groupBy(F.col("_metadata.file_path").alias("file"))
+             .agg((2 * F.count_if(complete) >= F.count(F.lit(1))).alias("by_line")).orderBy("file").collect())
+    kinds = {kind: [unquote(r.file) for r in files if r.by_line == kind] for kind in (True, False)}
+    if not all(kinds.values()):
+        return _read_json(spark, path, not kinds[False], schema)
+    parts = {kind: _read_json(spark, names, kind, schema) for kind, names in kinds.items()}
+    if schema is None:
+        types = [dict(p.dtypes) for p in parts.values()]
+        differ = [c for c in types[0] if c in types[1] and types[0][c] != types[1][c]]
+        if differ:  # what the two kinds do not agree on is text
+            both = {f.name: f.dataType for p in parts.values() for f in p.schema} | dict.fromkeys(differ, T.StringType())
+            agreed = T.StructType([T.StructField(n, t) for n, t in both.items()])
+            parts = {kind: _read_json(spark, names, kind, agreed) for kind, names in kinds.items()}
+    return parts[True].unionByName(parts[False], allowMissingColumns=True)
+
+
+def _read_json(spark: SparkSession, path, by_line: bool, schema) -> DataFrame:
     reader = spark.read.option("multiLine", not by_line)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def _is_complete_json(line: str) -> bool:
-    try:
-        return isinstance(json.loads(line), (dict, list))
-    except ValueError:
-        return False
-
-
 def suffix(path: str) -> str:
     return path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in os.path.basename(path.rstrip("/")) else ""
 
@@ -171,7 +202,7 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, use_spa
     if fmt in ("tsv", "txt"):
         return read_delimited(spark, path, sep=None)
     if fmt == "json":
-        return read_json(spark, path)
+        return _read_json(spark, path, False, None) if use_spark else read_json(spark, path)
     if fmt == "parquet":
         df = spark.read.parquet(path)
         return nan_to_null(df) if nan_as_null else df

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,9 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get(_SETTING, None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set(_SETTING, root)
-    return root
+    """The folder that the cluster names, or one in the warehouse, which all executors share too."""
+    root = spark.conf.get(_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

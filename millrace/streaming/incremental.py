@@ -18,8 +18,20 @@ def clean_new_files(spark: SparkSession, folder: str, schema: T.StructType, fitt
     file is treated like the table they were fitted on.  Each micro-batch owns a
     folder and replaces it when it is retried, so no row is written twice.
     `unique_by` drops rows already seen in earlier files; with `event_time` the
-    keys are forgotten after the delay, which bounds the state.
+    keys are forgotten after the delay, which bounds the state.  A leading
+    `drop_duplicates` among the steps does the same, by its subset or by all
+    columns.  Other steps must treat each row by itself: one that looks at
+    several rows would answer for a batch instead of the table and is refused.
     """
+    if fitted and fitted[0]["name"] == "drop_duplicates":
+        if fitted[0]["config"].get("order_by"):
+            raise ValueError("which of several copies comes first is not known before all files are")
+        own = fitted[0]["config"].get("subset") or schema.fieldNames()
+        if unique_by and sorted(unique_by) != sorted(own):
+            raise ValueError("unique_by and drop_duplicates name different columns")
+        unique_by, fitted = own, fitted[1:]
+    if not row_wise(fitted):
+        raise ValueError(f"not row by row: {[s['name'] for s in fitted if not row_wise([s])]}")
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -40,7 +52,7 @@ def clean_new_files(spark: SparkSession, folder: str, schema: T.StructType, fitt
 
 def row_wise(steps: list[dict]) -> bool:
     """Whether the fitted steps treat each row by itself, so that batches add up to the whole."""
-    return all(not STEPS[s["name"]].shuffles for s in steps)
+    return all(STEPS[s["name"]].by_row and s["config"].get("strategy") not in ("ffill", "bfill") for s in steps)
 
 
 def follow_log(spark: SparkSession, folder: str, schema: T.StructType, run_id, since_id: int, out: str,

@@ -101,7 +101,7 @@ def test_hot_keys_join_as_plain_ones(spark, how, hot_on_the_right):
     left, right = (small, large) if hot_on_the_right else (large, small)
     lp, rp = left.toPandas().astype("Int64"), right.toPandas().astype("Int64")
     want = lp.merge(rp, on="k", how=how)
-    got = merge(left, right, "k", "k", how, hot_rows=20)
+    got = merge(left, right, "k", "k", how)
     assert got.columns == list(want.columns)
 
     def rows(p):
