@@ -64,6 +64,55 @@ def _json(s, d, wrapped):
 _EVENTS_READ = WITH_EVENTS + "SELECT event_id, user_id, event_type, value FROM dirty_events"
 query("json_scan", _EVENTS_READ)(lambda s, d: _json(s, d, wrapped=True))
 query("json_object_scan", _EVENTS_READ)(lambda s, d: _json(s, d, wrapped=False))
+
+def _documents(s, d, path, where="true"):
+    """Arrays of events over several lines, each a file of its own."""
+    event = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    grouped = dirty_events(s, d).filter(where).groupBy(F.floor(F.col("event_id") / 500).alias("g")).agg(F.collect_list(event).alias("all"))
+    lines = F.concat(F.lit("[\n "), F.array_join("all", ",\n "), F.lit("\n]"))
+    grouped.select(lines.alias("value")).write.option("maxRecordsPerFile", 1).mode("append").text(path)
+
+
+def _document_scan(s, d, use_spark):
+    path = scratch_path(s, "documents") + ".json"
+    _documents(s, d, path)
+    return read.read_dataset(s, path, use_spark=use_spark).select("event_id", "user_id", "event_type", "value")
+
+
+def _mixed(s, d):
+    """Files of lines and files of one document in one folder."""
+    path = scratch_path(s, "mixed") + ".json"
+    _documents(s, d, path, "event_id % 2 = 0")
+    event = F.struct("event_id", "user_id", "event_type", "value")
+    dirty_events(s, d).filter("event_id % 2 = 1").select(F.to_json(event).alias("value")).write.mode("append").text(path)
+    return read.read_dataset(s, path).select("event_id", "user_id", "event_type", "value")
+
+
+def _broken(s, d):
+    """Before each tenth event a line that breaks off; it stays as a row."""
+    path = scratch_path(s, "broken") + ".json"
+    event = F.to_json(F.struct("event_id", "user_id"))
+    dirty_events(s, d).select(F.when(F.col("event_id") % 10 == 0, F.concat(F.lit('{"event_id": 1,\n'), event)).otherwise(event).alias("value")).write.text(path)
+    found = read.read_dataset(s, path)
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.count("event_id").alias("events"), F.sum("event_id").cast("bigint").alias("ids"))
+
+
+def _headers(s, d):
+    """Files of one folder that name their columns in another order, or have one more."""
+    path = scratch_path(s, "headers") + ".csv"
+    orders = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("priority"))
+    orders.filter("id % 2 = 0").select("id", "state").write.option("header", True).csv(path)
+    orders.filter("id % 2 = 1").select("priority", "state", "id").write.option("header", True).mode("append").csv(path)
+    return read.read_dataset(s, path).select("id", "state", "priority")
+
+
+query("json_document_scan", _EVENTS_READ)(lambda s, d: _document_scan(s, d, use_spark=False))
+query("json_spark_scan", _EVENTS_READ)(lambda s, d: _document_scan(s, d, use_spark=True))
+query("json_mixed_folder", _EVENTS_READ)(_mixed)
+query("json_broken_lines", WITH_EVENTS + """
+    SELECT count(*) + count_if(event_id % 10 = 0) AS rows, count(event_id) AS events, sum(event_id)::BIGINT AS ids FROM dirty_events""")(_broken)
+query("csv_folder_headers", """
+    SELECT o_orderkey AS id, o_orderstatus AS state, CASE WHEN o_orderkey % 2 = 1 THEN o_orderpriority END AS priority FROM orders""")(_headers)
 query("parquet_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")(
     lambda s, d: read.read_dataset(s, f"{d}/lineitem.parquet", nan_as_null=False).filter("l_quantity > 45").select("l_orderkey", "l_quantity"))
 query("extract_report", "SELECT count(*) AS rows, CAST(6 AS BIGINT) AS cols, 'parquet' AS format, 'spark' AS engine FROM orders")(
