@@ -49,7 +49,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, max_chars: in
 class Recent(dict):
     """Values made once for each key and kept in two generations of at most `limit` keys; what is asked for again outlives the rest."""
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 400_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

@@ -38,8 +38,10 @@ def build_grammar(tokens: np.ndarray, ends: np.ndarray, rounds: int, least: int,
     more, most frequent first, and replaces them from left to right. Symbols
     below len(ids) stand for ids, the others for rules in order.
     """
-    ids, symbols = np.unique(tokens, return_inverse=True)
-    symbols = symbols.astype(np.uint32)
+    ids = np.flatnonzero(np.bincount(tokens)).astype(np.uint32)  # a vocabulary is small; nothing is sorted
+    numbers = np.zeros(int(ids[-1]) + 1, np.uint32)
+    numbers[ids] = np.arange(len(ids), dtype=np.uint32)
+    symbols = numbers[tokens]
     rules, n_symbols, ends = [np.zeros((0, 2), np.uint32)], len(ids), ends.astype(np.int64)
     for _ in range(rounds):
         if len(symbols) < 2:
