@@ -154,11 +154,17 @@ def group_quantiles(df, keys, column, probs, limit=GROUP_LIMIT, ranges=None):
     """Exact quantiles per group as an array column `quantiles`, null groups dropped."""
     table = (df.filter(value(df, column).isNotNull()).groupBy(*[col(k) for k in keys], col(column).cast("double").alias("_v"))
              .agg(F.count(F.lit(1)).alias("_n")))
-    placed = running_totals(table, keys, ["_v"], "_n", "_before", limit, ranges)
-    totals = table.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_total"))
-    from ..operators.joins import matched
+    table = settle(table, "counts")  # read more than once
+    if has_large_group(table, keys, limit):
+        placed = running_totals(table, keys, ["_v"], "_n", "_before", limit, ranges)
+        totals = table.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_total"))
+        from ..operators.joins import matched
 
-    t = matched(placed, totals, keys, [f"_k{i}" for i in range(len(keys))], "inner")
+        t = matched(placed, totals, keys, [f"_k{i}" for i in range(len(keys))], "inner")
+    else:
+        group = W.partitionBy(*[col(k) for k in keys])
+        t = (table.withColumn("_before", F.coalesce(F.sum("_n").over(_before(group.orderBy("_v"))), F.lit(0)))
+             .withColumn("_total", F.sum("_n").over(group)))
     made = []
     for p in probs:
         spot = F.lit(float(p)) * (F.col("_total") - 1)

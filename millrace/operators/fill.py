@@ -22,15 +22,16 @@ def fit_fill(df: DataFrame, strategy: str = "median", columns: list[str] | None
     are still to come (`only_missing=False`).
     """
     cols = present(df, columns)
-    nulls = dict.fromkeys(cols, 1)
+    known = None
     if only_missing:
-        _, nulls = null_counts(df, cols)
+        total, nulls = null_counts(df, cols)
         cols = [c for c in cols if nulls[c]]
+        known = {c: total - nulls[c] for c in cols}
     numeric = [c for c in cols if kinds(df)[c] == NUMERIC]
     whole = [] if only_missing else _complete_whole(df, numeric)
     others = [c for c in cols if c not in numeric]
     if strategy == "median":
-        found = {c: q[0] for c, q in quantiles(df, numeric, [0.5], row_limit).items()}
+        found = {c: q[0] for c, q in quantiles(df, numeric, [0.5], row_limit, known).items()}
         return {**_keep_whole(found, whole), **dict.fromkeys(others, UNKNOWN)}
     if strategy == "mean":
         found = measure(df, {c: F.avg(value(df, c).cast("double")) for c in numeric}) if numeric else {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -88,15 +87,19 @@ def datetime_profile(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, *m) for c, m in zip(cols, row)], "column string, min string, max string")
 
 
-def sample_values(df: DataFrame, order_by: list[str], n: int = 5) -> DataFrame:
-    """The first n non-null values of every column, as text: a top-n per column, no full sort."""
-    parts = []
-    for c in df.columns:
-        first = (df.filter(value(df, c).isNotNull()).orderBy(*[col(o) for o in order_by]).limit(n)
-                 .select(flat(df, c).cast("string").alias("value"), F.struct(*[col(o) for o in order_by]).alias("at")))
-        picked = first.agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("rows"))
-        parts.append(picked.select(F.lit(c).alias("column"), F.posexplode(F.col("rows.value")).alias("position", "value")))
-    return reduce(DataFrame.unionByName, parts).withColumn("position", F.col("position") + 1)
+def sample_values(df: DataFrame, order_by: list[str], n: int = 5, columns: list[str] | None = None) -> DataFrame:
+    """The first n non-null values of every column, as text; the smaller text first on a tie.
+
+    One scan for all columns: each task keeps n values per column before anything is shuffled.
+    """
+    cols = df.columns if columns is None else columns
+    at, slots = [f"_at{i}" for i in range(len(order_by))], [str(i) for i in range(len(cols))]
+    cells = [F.when(value(df, c).isNotNull(), flat(df, c).cast("string")).alias(slot) for slot, c in zip(slots, cols)]
+    table = (df.select(*[col(o).alias(a) for a, o in zip(at, order_by)], *cells)
+             .unpivot(at, slots, "slot", "value").filter("value is not null"))
+    place = F.row_number().over(W.partitionBy("slot").orderBy(*at, "value"))
+    name = F.array(*[F.lit(c) for c in cols])[F.col("slot").cast("int")]
+    return table.withColumn("position", place).filter(F.col("position") <= n).select(name.alias("column"), "position", "value")
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 15) -> DataFrame:
@@ -203,18 +206,24 @@ def pearson(x, y):
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
-    """All ordered pairs of numeric columns, each unordered pair measured once."""
+    """All ordered pairs of numeric columns, each unordered pair measured once.
+
+    One scan whatever the number of columns: a row is dealt into its pairs, which are combined before the shuffle.
+    """
     numeric = columns or [c for c, k in kinds(df).items() if k == NUMERIC]
     schema = "col_a string, col_b string, r double"
     if len(numeric) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    got = stats.measure(df, {(a, b): pearson(value(df, a), value(df, b)) for a, b in combinations(numeric, 2)}, fields=10)
-    ends = stats.measure(df, {(c, m): f(value(df, c)) for c in numeric for m, f in (("min", F.min), ("max", F.max))}, fields=1)
+    cells = F.array(*[value(df, c).cast("double") for c in numeric])
+    firsts = df.select(cells.alias("v")).select("v", F.posexplode("v").alias("a", "x")).filter("x is not null")
+    rest = F.expr("slice(v, a + 1, size(v))")  # the column itself, too: its own pair says whether it varies
+    pairs = firsts.select("a", "x", F.posexplode(rest).alias("d", "y")).filter("y is not null")
+    got = {(r.a, r.a + r.d): r.r for r in pairs.groupBy("a", "d").agg(pearson(F.col("x"), F.col("y")).alias("r")).collect()}
     rows = []
-    for a in numeric:
-        for b in numeric:
-            r = (1.0 if ends[a, "min"] != ends[a, "max"] else None) if a == b else got[(a, b) if (a, b) in got else (b, a)]
-            rows.append((a, b, _rounded(r, digits)))
+    for i, a in enumerate(numeric):
+        for j, b in enumerate(numeric):
+            r = got.get((min(i, j), max(i, j)))
+            rows.append((a, b, _rounded(1.0 if i == j and r is not None else r, digits)))
     return df.sparkSession.createDataFrame(rows, schema)
 
 

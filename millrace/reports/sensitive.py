@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..functions.columns import col, flat
+from .profile import sample_values
 
 FINDING = "column string, pii_type string, confidence string, match_count bigint"
 
@@ -38,13 +39,14 @@ def sensitive_columns(df: DataFrame, sample: int | None = None, order_by: list[s
     else:
         if not order_by:
             raise ValueError("a sample needs order_by")
-        named = {}
-        for c in df.columns:
-            first = df.filter(col(c).isNotNull()).orderBy(*[col(o) for o in order_by]).limit(sample).select(col(c))
-            if c in spoken:
-                named[c] = first.count()
-            else:
-                got |= stats.measure(first, tests(first, c))
+        first = sample_values(df, order_by, sample)
+        hits = [F.count_if(F.coalesce(text.starts_with_match(F.col("value"), p), F.lit(False))).alias(kind)
+                for kind, p in text.SENSITIVE_PATTERNS.items()]
+        found = {r["column"]: r for r in first.groupBy("column").agg(F.count("value").alias("n"), *hits).collect()}
+        named = {c: found[c].n if c in found else 0 for c in spoken}
+        for c in others:
+            got |= {(c, None): found[c].n if c in found else 0,
+                    **{(c, kind): found[c][kind] if c in found else 0 for kind in text.SENSITIVE_PATTERNS}}
     rows = []
     for c in df.columns:
         if c in named:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import merge
@@ -14,7 +16,8 @@ from millrace.streaming.incremental import clean_new_files, follow_log
 
 from . import query
 from .inputs import (
-    SQL_JOIN_LEFT, SQL_JOIN_RIGHT, WITH_EVENTS, WITH_ORDERS, dirty_events, dirty_orders, join_left, join_right, table,
+    SQL_JOIN_LEFT, SQL_JOIN_RIGHT, WITH_EVENTS, WITH_ORDERS, dirty_events, dirty_orders, join_left, join_right, names,
+    profile_sql, rounded, share, table, union_all,
 )
 
 
@@ -156,6 +159,34 @@ def _materialise(s, d):
 query("materialise", "SELECT event_type AS category, count(*) AS record_count FROM events GROUP BY 1")(_materialise)
 
 
+def _stored(s, d):
+    """A summary stored as a table of the catalogue, in a folder of its own."""
+    summary = table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("record_count"), F.max("value").alias("largest"))
+    write.save_table(summary, "millrace_event_summary", scratch_path(s, "stored"))
+    return read.read_table(s, "millrace_event_summary")
+
+
+query("table_store", "SELECT event_type, count(*) AS record_count, max(value) AS largest FROM events GROUP BY 1")(_stored)
+
+
+def _discovered(s, d):
+    """Data files of a folder that also holds others, each read by its suffix."""
+    folder, orders = scratch_path(s, "found"), table(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    orders.filter("o_orderkey % 3 = 0").coalesce(1).write.option("header", True).csv(folder)
+    orders.filter("o_orderkey % 3 = 1").coalesce(1).write.mode("append").json(folder)
+    orders.filter("o_orderkey % 3 = 2").coalesce(1).write.mode("append").parquet(folder)  # not among the suffixes looked for
+    every = None
+    for path in read.list_files(s, folder):
+        one = read.with_file_name(read.read_dataset(s, path)).select(
+            F.regexp_extract("file_name", r"\.(\w+)$", 1).alias("kind"), "o_orderkey", "o_orderstatus")
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+query("discover_files", """
+    SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'csv' ELSE 'json' END AS kind, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 < 2""")(_discovered)
+
+
 def _save_join(s, d):
     folder = scratch_path(s, "join")
     joined = merge(join_left(s, d), join_right(s, d), "k", "k", "inner")
@@ -170,6 +201,18 @@ query("join_save", f"""
     FROM join_left l JOIN join_right r ON l.k IS NOT DISTINCT FROM r.k""")(_save_join)
 
 
+def _saved_rows(s, d):
+    folder = scratch_path(s, "join")
+    saved = write.save_join(merge(join_left(s, d), join_right(s, d), "k", "k", "inner"), folder, f"{folder}/datasets")
+    return s.read.option("header", True).schema("k bigint, tag_left string, c_acctbal double, tag_right string, o_orderkey bigint").csv(saved["path"])
+
+
+query("join_saved_rows", f"""
+    WITH {SQL_JOIN_LEFT}, {SQL_JOIN_RIGHT}
+    SELECT l.k, l.tag AS tag_left, l.c_acctbal, r.tag AS tag_right, r.o_orderkey
+    FROM join_left l JOIN join_right r ON l.k IS NOT DISTINCT FROM r.k""")(_saved_rows)
+
+
 def _raw_folder(s, d):
     """Two files of one layout, with nulls and copies."""
     folder = scratch_path(s, "raw")
@@ -202,10 +245,17 @@ def _clean_each(s, d):
     report = runs.clean_files(s, parts, out)
     assert report and all(r["status"] == "success" for r in report), report
     return s.read.option("header", True).schema("o_orderkey bigint, o_custkey double, o_orderpriority string, o_totalprice double").csv(
-        [r["path"] for r in report]).select("o_orderkey", "o_orderpriority")
+        [r["path"] for r in report])
 
 
-query("per_file_clean", WITH_ORDERS + "SELECT DISTINCT o_orderkey, coalesce(o_orderpriority, 'Unknown') AS o_orderpriority FROM dirty_orders")(_clean_each)
+query("per_file_clean", WITH_ORDERS + "SELECT DISTINCT o_orderkey, coalesce(o_orderpriority, 'Unknown') AS o_orderpriority FROM dirty_orders")(
+    lambda s, d: _clean_each(s, d).select("o_orderkey", "o_orderpriority"))
+query("per_file_clean_values", WITH_ORDERS + """, f AS (
+        SELECT DISTINCT o_orderkey, o_custkey, o_orderpriority, o_totalprice, o_orderdate < '1998-01-01' AS early FROM dirty_orders),
+    m AS (SELECT early, median(o_custkey) AS c, median(o_totalprice) AS t FROM f GROUP BY 1)
+    SELECT o_orderkey, coalesce(o_custkey, c)::DOUBLE AS o_custkey, coalesce(o_orderpriority, 'Unknown') AS o_orderpriority,
+           round(coalesce(o_totalprice, t), 6) AS o_totalprice FROM f JOIN m USING (early)""")(
+    lambda s, d: _clean_each(s, d).withColumn("o_totalprice", F.round("o_totalprice", 6)))
 
 _STAGES = [
     {"type": "transform", "name": "clean", "config": {"operations": [
@@ -233,6 +283,8 @@ def _stage_result(s, d):
 query("multi_stage_run", WITH_ORDERS + _STAGED_ROWS + """
     SELECT 'success' AS status, 'manual' AS trigger, (SELECT count(*) FROM dirty_orders) AS rows_in,
            (SELECT count(DISTINCT coalesce(o_orderpriority, '?')) FROM u) AS rows_out""")(_stage_result)
+query("multi_stage_output", WITH_ORDERS + _STAGED_ROWS + " SELECT o_orderpriority, count(o_totalprice) AS o_totalprice_count FROM u GROUP BY 1")(
+    lambda s, d: s.read.option("header", True).schema("o_orderpriority string, o_totalprice_count bigint").csv(_stages(s, d)[1]["output_path"]))
 query("check_result_append", WITH_ORDERS + _STAGED_ROWS + """
     SELECT count(*) = count(o_custkey) AND count(*) = count(DISTINCT o_orderkey) AS success, CAST(2 AS BIGINT) AS total,
            CAST((count(*) = count(o_custkey))::INT + (count(*) = count(DISTINCT o_orderkey))::INT AS BIGINT) AS passed FROM u""")(
@@ -243,9 +295,13 @@ query("run_log_append", """
     lambda s, d: write.read_rows(s, f"{_stages(s, d)[0]}/run_logs", write.RUN_LOG).select("level", "step"))
 
 
-def _report(s, d):
-    done = runs.run_report(s, dirty_orders(s, d), scratch_path(s, "report"), [
+def _run_report(s, d):
+    return runs.run_report(s, dirty_orders(s, d), scratch_path(s, "report"), [
         {"type": "drop_duplicates", "config": {}}, {"type": "drop_nulls", "config": {}}], staging=True)
+
+
+def _report(s, d):
+    done = _run_report(s, d)
     return s.createDataFrame([(done["input_rows"], done["output_rows"], done["rows_removed"])],
                              "input_rows bigint, output_rows bigint, rows_removed bigint")
 
@@ -253,6 +309,16 @@ def _report(s, d):
 query("full_report", WITH_ORDERS + """, u AS (SELECT DISTINCT * FROM dirty_orders
         WHERE o_custkey IS NOT NULL AND o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL), n AS (SELECT count(*) AS b FROM u),
     a AS (SELECT count(*) AS a FROM dirty_orders) SELECT a AS input_rows, b AS output_rows, a - b AS rows_removed FROM a, n""")(_report)
+query("full_report_profile", WITH_ORDERS + profile_sql("dirty_orders"))(lambda s, d: _run_report(s, d)["reports"]["profile"])
+query("full_report_missing", WITH_ORDERS + union_all([f"""
+    SELECT '{c}' AS "column", count(*) - count({c}) AS count, {share(f"count(*) - count({c})")} AS pct FROM dirty_orders"""
+    for c in names("dirty_orders")]))(lambda s, d: _run_report(s, d)["reports"]["missing"])
+query("full_report_correlation", WITH_ORDERS + union_all([
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, {rounded(f'corr({a}, {b})', 3)} AS r FROM dirty_orders"
+    for a, b in product(names("dirty_orders", "numeric"), repeat=2)]))(lambda s, d: _run_report(s, d)["reports"]["correlation"])
+query("full_report_files", WITH_ORDERS + """
+    SELECT DISTINCT * FROM dirty_orders WHERE o_custkey IS NOT NULL AND o_orderpriority IS NOT NULL AND o_totalprice IS NOT NULL""")(
+    lambda s, d: s.read.parquet(_run_report(s, d)["files"]["parquet_path"]))
 query("transform_preview", WITH_ORDERS + """
     SELECT (SELECT count(*) FROM dirty_orders) AS rows_before, count(*) AS rows_after, 5::INT AS cols_before, 4::INT AS cols_after
     FROM (SELECT DISTINCT * FROM dirty_orders)""")(

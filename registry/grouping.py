@@ -82,6 +82,8 @@ query("column_mean", WITH_LINEITEM + "SELECT round(avg(l_quantity), 6) AS mean F
 query("group_mean", WITH_LINEITEM + """
     SELECT l_returnflag, round(avg(l_quantity), 6) AS mean FROM dirty_lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1""")(
     lambda s, d: _rounded(ask.total_of(dirty_lineitem(s, d), "l_quantity", "mean", "l_returnflag"), 6, "mean"))
+query("group_median", "SELECT o_orderpriority, round(median(o_totalprice), 6) AS median FROM orders GROUP BY 1")(
+    lambda s, d: _rounded(ask.total_of(table(s, d, "orders"), "o_totalprice", "median", "o_orderpriority"), 6, "median"))
 query("column_median", "SELECT round(median(o_totalprice), 6) AS median FROM orders")(
     lambda s, d: _rounded(ask.total_of(table(s, d, "orders"), "o_totalprice", "median"), 6, "median"))
 query("column_sum", "SELECT round(sum(o_totalprice), 2) AS sum FROM orders")(

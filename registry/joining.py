@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from millrace.operators.joins import merge
+from millrace.operators.shape import preview
 from millrace.plans.runs import join_report
 
 from . import query
@@ -32,3 +33,9 @@ query("join_report", _WITH + """, j AS (
            (SELECT count(*) FROM j) AS output_rows, CAST(5 AS BIGINT) AS output_cols,
            'k,tag_left,c_acctbal,tag_right,o_orderkey' AS new_columns""")(
     lambda s, d: join_report(join_left(s, d), join_right(s, d), merge(join_left(s, d), join_right(s, d), "k", "k", "left")))
+
+query("join_preview_rows", _WITH + """
+    SELECT coalesce(k::VARCHAR, '') AS k, coalesce(tag_left, '') AS tag_left, coalesce(tag_right, '') AS tag_right, o_orderkey::VARCHAR AS o_orderkey
+    FROM (SELECT l.k, l.tag AS tag_left, r.tag AS tag_right, r.o_orderkey FROM join_left l JOIN join_right r ON l.k IS NOT DISTINCT FROM r.k
+          ORDER BY r.o_orderkey LIMIT 50)""")(
+    lambda s, d: preview(merge(join_left(s, d), join_right(s, d), "k", "k", "inner").drop("c_acctbal"), 50, order_by=["o_orderkey"]))

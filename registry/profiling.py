@@ -16,6 +16,24 @@ from .inputs import (
 query("profile", profile_sql("lineitem"))(lambda s, d: prof.profile(table(s, d, "lineitem")))
 query("profile_with_nulls", WITH_LINEITEM + profile_sql("dirty_lineitem"))(lambda s, d: prof.profile(dirty_lineitem(s, d)))
 query("profile_approx")(lambda s, d: prof.profile(table(s, d, "lineitem"), approx=True))
+
+
+def _approx_error(s, d):
+    """The columns that stay exact, and whether the others lie within the sketches' error of the exact profile."""
+    near, exact = (prof.profile(table(s, d, "lineitem"), approx=a) for a in (True, False))
+    exact = exact.select("column", *[F.col(c).alias(f"_{c}") for c in ("unique", "q1", "median", "q3")])
+    hundredth = (F.col("max") - F.col("min")) * 0.01
+    close = F.lit(True)
+    for c in ("q1", "median", "q3"):
+        close = close & (F.abs(F.col(c) - F.col(f"_{c}")) <= hundredth)
+    return near.join(exact, "column").select(
+        "column", "dtype", "kind", "total", "missing", "min", "max", "mean", "std", "zeros", "negatives",
+        (F.abs(F.col("unique") - F.col("_unique")) <= 0.2 * F.col("_unique")).alias("unique_close"), close.alias("quartiles_close"))
+
+
+query("profile_approx_error", f"""
+    SELECT "column", dtype, kind, total, missing, min, max, mean, std, zeros, negatives, true AS unique_close,
+           CASE WHEN kind = 'numeric' THEN true END AS quartiles_close FROM ({profile_sql("lineitem")})""")(_approx_error)
 query("profile_datetime", union_all([
     f"SELECT '{c}' AS \"column\", min({c})::VARCHAR AS min, max({c})::VARCHAR AS max FROM {t}" for c, t in [("ts", "events")]]))(
     lambda s, d: prof.datetime_profile(table(s, d, "events")))

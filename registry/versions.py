@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from millrace.functions.text import SENSITIVE_PATTERNS
 from millrace.reports import drift, insight, sensitive
 from millrace.reports.profile import profile
+from millrace.sources.scratch import scratch_path
 
-from . import query
+from . import SQL, query
 from .inputs import COLUMNS, SQL_LINEITEM_V2, lineitem_v2, names, profile_sql, share, table, union_all, with_
 
 
@@ -60,6 +61,18 @@ query("drift_score", _WITH + """, counted AS (
     SELECT added, removed, type_changes, nullable_changes, range_changes, drift_score,
            CASE WHEN drift_score = 0 THEN 'none' WHEN drift_score <= 15 THEN 'low' WHEN drift_score <= 45 THEN 'medium' ELSE 'critical' END AS severity
     FROM scored""")(lambda s, d: drift.drift_score(_compared(s, d)))
+
+
+def _recorded(s, d):
+    """The comparison, appended to a history of its own and read back."""
+    path = scratch_path(s, "drift")
+    drift.record_drift(s, path, ("a", "lineitem"), ("b", "lineitem_v2"), drift.drift_score(_compared(s, d)))
+    return drift.drift_history(drift.read_history(s, path), "b").drop("compared_at")
+
+
+_SCORED = SQL["drift_score"]
+query("drift_record", f"""SELECT 'a' AS baseline_id, 'b' AS new_id, 'lineitem' AS baseline_name, 'lineitem_v2' AS new_name,
+    drift_score, severity FROM ({_SCORED})""")(_recorded)
 query("set_columns", f"""WITH {_SETS}
     SELECT coalesce(a.c, b.c) AS "column", a.c IS NOT NULL AS in_baseline, b.c IS NOT NULL AS in_new,
            CASE WHEN a.c IS NULL THEN 'added' WHEN b.c IS NULL THEN 'removed' ELSE 'common' END AS change
