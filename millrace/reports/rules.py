@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
@@ -50,6 +51,20 @@ def _examples(df: DataFrame, rows: DataFrame, order_by: list[str], n: int) -> li
     return [r.row for r in rows.orderBy(*[flat(df, c) for c in order_by]).limit(n).select(_as_text_row(df).alias("row")).collect()]
 
 
+def _value_examples(df: DataFrame, broken: dict[int, dict], order_by: list[str], n: int) -> dict[int, list[list[str]]]:
+    """The first `n` failing rows of every per-value rule, from one scan: each task keeps `n` rows per rule."""
+    shown: dict[int, list[list[str]]] = {i: [] for i in broken}
+    if broken:
+        tags = F.array_compact(F.array(*[F.when(failing(df, rule), F.lit(i)) for i, rule in broken.items()]))
+        at = [f"_o{j}" for j in range(len(order_by))]
+        rows = df.select(F.explode(tags).alias("_rule"), *[flat(df, c).alias(a) for a, c in zip(at, order_by)], _as_text_row(df).alias("_row"))
+        place = F.row_number().over(W.partitionBy("_rule").orderBy(*(at or [F.lit(1)])))
+        first = rows.withColumn("_at", place).filter(F.col("_at") <= n).select("_rule", "_at", "_row")
+        for r in sorted(first.collect(), key=lambda r: (r["_rule"], r["_at"])):
+            shown[r["_rule"]].append(r["_row"])
+    return shown
+
+
 def _repeated_rows(df: DataFrame, n: int) -> DataFrame:
     """Each row that occurs again, once per repeat beyond the first, `n` times at most: more of one row are never shown."""
     keys = [flat(df, c).alias(f"_k{i}") for i, c in enumerate(df.columns)]  # maps are compared as text
@@ -94,6 +109,8 @@ def run_rules(df: DataFrame, rules: list[dict], order_by: list[str] | None = Non
     if any(r["rule_type"] == "no_duplicates" for r in rules):
         copies = total - df.groupBy(*[flat(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]).count().count()
 
+    of_values = _value_examples(df, {i: r for i, r in enumerate(rules) if i in got and i not in errors and got[i]
+                                     and r["rule_type"] != "null_threshold"}, order_by, examples)
     out = []
     for i, rule in enumerate(rules):
         kind, c, p = rule["rule_type"], rule.get("column", "") or "", rule.get("params", {})
@@ -125,7 +142,8 @@ def run_rules(df: DataFrame, rules: list[dict], order_by: list[str] | None = Non
         elif i in got:
             bad = got[i]
             expected, actual = _wording(kind, p, bad, got.get((i, "end")))
-            broken_rows = lambda rule=rule: df.filter(failing(df, rule))
+            if bad:
+                status, shown = bad_status, of_values[i]
         else:
             actual, status = f"Unknown rule type: {kind}", "failed"
         if broken_rows is not None and bad:

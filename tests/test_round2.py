@@ -8,7 +8,7 @@ from millrace.functions import ordered
 from millrace.operators import rows
 from millrace.plans import runs
 from millrace.plans.steps import fit_steps, run_steps
-from millrace.reports import questions, rules
+from millrace.reports import profile, questions, rules, sensitive
 from millrace.sources import read, scratch
 from millrace.streaming.incremental import clean_new_files
 
@@ -99,3 +99,37 @@ def test_scratch_leaves_the_session_as_it_is(spark):
     before = spark.conf.get("spark.checkpoint.dir", None)
     assert scratch.scratch_root(spark).startswith((before or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/"))
     assert spark.conf.get("spark.checkpoint.dir", None) == before
+
+
+def test_samples_of_all_columns_take_one_scan(spark, tmp_path):
+    nan = float("nan")
+    made = spark.createDataFrame([(i, nan if i < 3 else i / 2, None if i % 2 else f"t{i}", [i]) for i in range(40)], "id int, v double, t string, l array<int>")
+    made.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = profile.sample_values(df, ["id"], 2)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    assert {(r["column"], r.position): r.value for r in found.collect()} == {
+        ("id", 1): "0", ("id", 2): "1", ("v", 1): "1.5", ("v", 2): "2.0", ("t", 1): "t0", ("t", 2): "t2", ("l", 1): "[0]", ("l", 2): "[1]"}
+    assert profile.sample_values(df.limit(0), ["id"], 2).count() == 0
+    contacts = df.selectExpr("id", "concat('u', id, '@example.org') AS reach", "t AS name")
+    got = {r["column"]: (r.pii_type, r.match_count) for r in sensitive.sensitive_columns(contacts, sample=6, order_by=["id"]).collect()}
+    assert got["reach"] == ("email", 6) and got["name"] == ("name_based", 6)
+
+
+def test_correlations_skip_rows_without_both_values(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5), (2.0, 4.0, 5), (3.0, None, 5), (4.0, 9.0, 5), (float("nan"), 1.0, 5)], "a double, b double, c int")
+    got = {(r.col_a, r.col_b): r.r for r in profile.correlation(df).collect()}
+    assert got["a", "b"] == got["b", "a"] == 0.999 and got["a", "a"] == got["b", "b"] == 1.0
+    assert got["c", "c"] is None and got["a", "c"] is None
+    wide = spark.range(50).selectExpr(*[f"(id * {i + 3}) % 17 AS c{i}" for i in range(30)])
+    assert profile.correlation(wide).count() == 900
+    assert {r.r for r in profile.correlation(wide.limit(0)).collect()} == {None}
+
+
+def test_examples_of_value_rules_come_in_order(spark):
+    df = spark.createDataFrame([(i, i % 4, None if i % 5 == 0 else "x" * (i % 7)) for i in range(60)], "id int, k int, t string")
+    wanted = [{"rule_type": "max_value", "column": "k", "params": {"value": 2}}, {"rule_type": "not_null", "column": "t", "params": {}},
+              {"rule_type": "min_length", "column": "t", "params": {"value": 3}}, {"rule_type": "min_value", "column": "k", "params": {"value": 0}}]
+    found = rules.run_rules(df, wanted, order_by=["id"], examples=3).collect()
+    assert [[int(x[0]) for x in r.failing_row_examples] for r in found] == [[3, 7, 11], [0, 5, 10], [1, 2, 7], []]
+    assert [r.failing_rows_count for r in found] == [15, 12, sum(1 for i in range(60) if i % 5 and i % 7 < 3), 0]
