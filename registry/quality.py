@@ -212,3 +212,18 @@ query("rule_examples", WITH_ORDERS + union_all([f"""
         {"rule_type": "min_length", "column": "o_orderpriority", "params": {"value": 6}}], ["o_orderkey"])
     .select("rule_type", "column", F.posexplode("failing_row_examples").alias("p", "row"))
     .select("rule_type", "column", (F.col("p") + 1).alias("position"), F.col("row")[0].alias("orderkey")))
+
+
+def _ten_examples(s, d, rule):
+    found = r.run_rules(dirty_orders(s, d), [rule], ["o_orderkey"], examples=10)
+    return found.select(F.posexplode("failing_row_examples").alias("p", "row")).select(
+        (F.col("p") + 1).alias("position"), F.col("row")[0].alias("orderkey"))
+
+
+_TEN = "SELECT row_number() OVER (ORDER BY o_orderkey)::INT AS position, o_orderkey::VARCHAR AS orderkey FROM {rows} QUALIFY position <= 10"
+query("rule_examples_repeats", WITH_ORDERS + _TEN.format(
+    rows="(SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey) AS copy FROM dirty_orders) WHERE copy > 1"))(
+    lambda s, d: _ten_examples(s, d, {"rule_type": "no_duplicates"}))
+query("rule_examples_unique", WITH_ORDERS + _TEN.format(
+    rows="(SELECT o_orderkey FROM dirty_orders QUALIFY count(*) OVER (PARTITION BY o_orderkey) > 1)"))(
+    lambda s, d: _ten_examples(s, d, {"rule_type": "unique", "column": "o_orderkey"}))
