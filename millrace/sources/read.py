@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import csv
+import json
 import os
 import re
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,17 +156,15 @@ def read_csv_spark(spark: SparkSession, path) -> DataFrame:
 def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = None) -> DataFrame:
     """A top-level array gives one row per element, an object one row.
 
-    Files with one complete value per line are split among tasks; a value over
-    several lines makes its file one document, read by one task.
-    `by_line=None` tells them apart file by file, by all their lines: a line
-    file has at least as many complete lines as broken ones.  A broken line
+    Files with one value per line are split among tasks; a value over several
+    lines makes its file one document, read by one task. `by_line=None` tells
+    them apart file by file: a document has no complete line at all, or parses
+    as one value as a whole; every other file is read by line. A broken line
     stays as a row, with its text in `_corrupt_record`.
     """
     if by_line is not None:
         return _read_json(spark, path, by_line, schema)
-    complete = F.trim("value").rlike(r"^(\[.*\]|\{.*\})\r?$") & F.try_parse_json(F.col("value")).isNotNull()
-    files = (spark.read.text(path).filter(F.trim("value") != "").groupBy(F.col("_metadata.file_path").alias("file"))
-             .agg((2 * F.count_if(complete) >= F.count(F.lit(1))).alias("by_line")).orderBy("file").collect())
+    files = _json_kinds(spark, path)
     kinds = {kind: [unquote(r.file) for r in files if r.by_line == kind] for kind in (True, False)}
     if not all(kinds.values()):
         return _read_json(spark, path, not kinds[False], schema)
@@ -180,6 +179,40 @@ def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = Non
     return parts[True].unionByName(parts[False], allowMissingColumns=True)
 
 
+def _json_kinds(spark: SparkSession, path) -> list[Row]:
+    """(file, by_line) of each file that is not blank.
+
+    Only a file with complete and other lines that begins and ends as a
+    document, and closes as many brackets as it opens, is parsed as a whole.
+    """
+    line = F.regexp_replace(F.trim("value"), "^\ufeff|\r$", "")
+    complete = line.rlike(r"^(\[.*\]|\{.*\})$") & F.try_parse_json(line).isNotNull()
+    bare = F.regexp_replace(line, r'"(\\.|[^"\\])*"', "")
+    depth = F.length(F.regexp_replace(bare, r"[^\[{]", "")) - F.length(F.regexp_replace(bare, r"[^\]}]", ""))
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("file"), complete.alias("complete"), depth.cast("long").alias("depth"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        line.rlike(r"^[\[{]").alias("opens"), line.rlike(r"[\]}]$").alias("closes"))
+    seen = lines.groupBy("file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("complete").alias("n_complete"), F.sum("depth").alias("depth"),
+        F.min_by(F.struct("complete", "opens"), "at").alias("first"), F.max_by("closes", "at").alias("closes"))
+    whole = F.expr("n_complete < n AND first.opens AND NOT first.complete AND closes AND depth = 0")
+    kinds = seen.select("file", (F.col("n_complete") > 0).alias("by_line"), whole.alias("may_be_whole")).orderBy("file").collect()
+    open_ = [unquote(r.file) for r in kinds if r.by_line and r.may_be_whole]
+    documents = set()
+    if open_:
+        def parses(text):
+            try:
+                json.loads(text.lstrip("\ufeff"), strict=False)
+            except ValueError:
+                return False
+            return True
+
+        texts = spark.read.text(open_, wholetext=True)
+        documents = {r.file for r in texts.where(F.udf(parses, "boolean")("value")).select(F.col("_metadata.file_path").alias("file")).collect()}
+    return [Row(file=r.file, by_line=r.by_line and r.file not in documents) for r in kinds]
+
+
 def _read_json(spark: SparkSession, path, by_line: bool, schema) -> DataFrame:
     reader = spark.read.option("multiLine", not by_line)
     return (reader.schema(schema) if schema else reader).json(path)
