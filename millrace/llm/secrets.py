@@ -5,15 +5,17 @@ reported only where the parts that complete them are near: an access
 identifier too short for the base, an assigned value too short for it, and an
 endpoint say little alone, but two different parts of one credential within a
 scope do. Scopes are joined as intervals: parts are sorted by place, and a
-part looks up the nearest parts of each complementary role by bisection, so
-that a text with many parts costs n log n and no pairs are made.
+part looks up by bisection how far the parts of each other role reach that
+start before its scope ends, so that a text with many parts costs n log n and
+no pairs are made.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,24 +59,27 @@ def _parts(text: str) -> tuple[list[tuple], list[tuple]]:
 def find_spans(text: str, scope: int = 200) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind.
 
-    A weak part counts if a part of another role starts at most `scope` code
-    points away and one of the two roles is an identifier or a secret: an
-    identifier needs a secret or an endpoint, a secret an identifier, an
-    endpoint an identifier or a base secret.
+    A weak part counts if a part of another role stands at most `scope` code
+    points away, from the end of the one to the start of the other: any two of
+    identifier, secret and endpoint complete each other.
     """
     base, weak = _parts(text)
     if weak:
         starts: dict[str, list[int]] = {}
-        for start, kind, _ in sorted(base + weak):
+        ends: dict[str, list[int]] = {}
+        for start, kind, end in sorted(base + weak):
             starts.setdefault(_ROLES[KINDS[kind]], []).append(start)
-        strong = sorted(start for start, kind, _ in base if kind != 1)
+            ends.setdefault(_ROLES[KINDS[kind]], []).append(end)
+        reach = {role: list(accumulate(e, max)) for role, e in ends.items()}
 
-        def near(places: list[int], at: int) -> bool:
-            i = bisect_left(places, at - scope)
-            return i < len(places) and places[i] <= at + scope
+        def completed(start: int, kind: int, end: int) -> bool:
+            for role in starts.keys() - {_ROLES[KINDS[kind]]}:
+                before = bisect_right(starts[role], end + scope)
+                if before and reach[role][before - 1] >= start - scope:
+                    return True
+            return False
 
-        needs = {3: ("secret", "endpoint"), 4: ("identifier",), 5: ("identifier",)}
-        base = base + [p for p in weak if any(near(starts.get(r, []), p[0]) for r in needs[p[1]]) or p[1] == 5 and near(strong, p[0])]
+        base = base + [p for p in weak if completed(*p)]
     return [(KINDS[kind], start, end) for start, kind, end in sorted(base)]
 
 
