@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.sources.scratch import scratch_path
 
 from .exact_dedup import exact_dedup
+from .merkle import manifest
 from .packing import pack
 from .quality_classifier import fit_classifier, score_quality
 from .quality_rules import apply_rules, fit_forest
@@ -98,3 +99,38 @@ def op9(spark, sf):
 @query("op10_substring_dedup")
 def op10(spark, sf):
     return remove_repeats(_documents(spark, sf), length=200)
+
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + ")"
+_CRC = """xor(list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint),
+    lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query("op11_merkle_manifest", f"""
+    WITH RECURSIVE leaf AS (
+        SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_LEAF.format(n_chars='n_chars')} AS leaf,
+               CASE WHEN doc_id IS NOT NULL AND n_chars IS NOT NULL AND {_CRC} % 7 = 0 THEN {_LEAF.format(n_chars='(n_chars + 1)')} END AS tampered FROM documents),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaf),
+    node(tree, level, pos, n, h) AS (
+        SELECT tree, 0, pos, n, leaf FROM placed
+        UNION ALL SELECT tree, level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY tree, level, pos // 2),
+    sub AS (SELECT tree, h AS subroot FROM node WHERE n = 1),
+    subplaced AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM sub),
+    top(level, pos, n, h) AS (
+        SELECT 0, pos, n, subroot FROM subplaced
+        UNION ALL SELECT level + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 2),
+    folded(tree, row, level, pos, n, h, proof) AS (
+        SELECT tree, pos, 0, pos, n, coalesce(tampered, leaf), '' FROM placed
+        UNION ALL SELECT f.tree, f.row, f.level + 1, f.pos // 2, (f.n + 1) // 2,
+                         sha256(CASE WHEN f.pos % 2 = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+        FROM folded f LEFT JOIN node s ON s.tree = f.tree AND s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.n > 1),
+    over(tree, row, level, pos, n, h, proof) AS (
+        SELECT f.tree, f.row, 0, s.pos, s.n, f.h, f.proof FROM folded f JOIN subplaced s ON s.tree = f.tree WHERE f.n = 1
+        UNION ALL SELECT f.tree, f.row, f.level + 1, f.pos // 2, (f.n + 1) // 2,
+                         sha256(CASE WHEN f.pos % 2 = 1 THEN coalesce(s.h, '') || f.h ELSE f.h || coalesce(s.h, '') END), f.proof || coalesce(s.h, '')
+        FROM over f LEFT JOIN top s ON s.level = f.level AND s.pos = xor(f.pos, 1) WHERE f.n > 1)
+    SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = t.h AS verified
+    FROM placed p JOIN over o ON o.tree = p.tree AND o.row = p.pos AND o.n = 1 JOIN sub s ON s.tree = p.tree CROSS JOIN (SELECT h FROM top WHERE n = 1) t""")
+def op11(spark, sf):
+    return manifest(_documents(spark, sf))
