@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.sources.scratch import scratch_path
 
+from .cap_filters import near_vectors
 from .exact_dedup import exact_dedup
 from .merkle import manifest
 from .packing import pack
@@ -134,3 +135,19 @@ _CRC = """xor(list_reduce([4294967295] || list_transform(string_split(doc_id::va
     FROM placed p JOIN over o ON o.tree = p.tree AND o.row = p.pos AND o.n = 1 JOIN sub s ON s.tree = p.tree CROSS JOIN (SELECT h FROM top WHERE n = 1) t""")
 def op11(spark, sf):
     return manifest(_documents(spark, sf))
+
+
+@query("op13_cap_filter_dedup", """
+    WITH RECURSIVE v AS (
+        SELECT row_number() OVER () AS row, vec_id, label, embedding::double[] AS e,
+               label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND coalesce(isfinite(x), false)))
+               AND list_bool_or(list_transform(embedding, lambda x: coalesce(x <> 0, false))) AS usable FROM embeddings),
+    pair AS (SELECT a.row AS a, b.row AS b, b.vec_id AS b_id FROM v a JOIN v b ON a.label = b.label AND a.row <> b.row AND len(a.e) = len(b.e)
+             WHERE a.usable AND b.usable AND list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(row, other) AS (SELECT row, row FROM v UNION SELECT r.row, p.b FROM reach r JOIN pair p ON p.a = r.other),
+    least AS (SELECT r.row, min(v.vec_id) AS component_id FROM reach r JOIN v ON v.row = r.other GROUP BY 1),
+    linked AS (SELECT a AS row, count(*) AS n FROM pair GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+    FROM v JOIN least USING (row) LEFT JOIN linked USING (row)""")
+def op13(spark, sf):
+    return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
