@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.sources.scratch import scratch_path
 
 from .cap_filters import near_vectors
+from .conversation_repair import damage_and_repair
 from .exact_dedup import exact_dedup
 from .merkle import manifest
 from .packing import pack
@@ -151,3 +152,8 @@ def op11(spark, sf):
     FROM v JOIN least USING (row) LEFT JOIN linked USING (row)""")
 def op13(spark, sf):
     return near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf):
+    return damage_and_repair(spark.read.parquet(f"{sf}/conversations.parquet"))
