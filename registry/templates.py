@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.plans.steps import run_steps
+from millrace.plans.steps import fit_steps, run_steps
 from millrace.plans.templates import BATCH_STEPS, DEFAULT_STEPS, TEMPLATES
+from millrace.sources.scratch import scratch_path, settle
+from millrace.streaming.incremental import clean_new_files
 
 from . import query
 from .inputs import SQL_DIRTY_LINEITEM, WITH_ORDERS, dirty_lineitem, dirty_orders, table, with_
@@ -47,20 +49,37 @@ def _round(df, digits, cols):
     return df.select(*[F.round(c, digits).alias(c) if c in cols else c for c in df.columns])
 
 
+def _arrivals(s, df, steps):
+    """Steps fitted on all rows, run as the rows arrive in two parts; copies of a row are in either."""
+    fitted, dealt = fit_steps(df, steps), settle(df.withColumn("_early", F.rand(7) < 0.5))
+    folder, out, checkpoint = (scratch_path(s, x) for x in ("arrivals", "cleaned", "progress"))
+    done = None
+    for early in (True, False):
+        dealt.filter(F.col("_early") == early).drop("_early").write.mode("append").parquet(folder)
+        done = clean_new_files(s, folder, df.schema, fitted, out, checkpoint)
+    return done
+
+
+def _cleaned(name, sql, source, steps, digits=0, cols=()):
+    """A step list over a whole table, and incrementally: both give the same rows."""
+    query(name, sql)(lambda s, d: _round(run_steps(source(s, d), steps).df, digits, cols))
+    query(f"incremental_{name}", sql)(lambda s, d: _round(_arrivals(s, source(s, d), steps), digits, cols))
+
+
 _PRICES = ["l_quantity", "l_extendedprice"]
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
-query("default_clean", with_(
+_cleaned("default_clean", with_(
     SQL_DIRTY_LINEITEM, "u AS (SELECT DISTINCT * FROM dirty_lineitem)", "n AS (SELECT * EXCLUDE (l_sparse) FROM u)",
     "f AS (" + _replace("n", {**{c: _median(c, "n") for c in _PRICES}, "l_returnflag": "coalesce(l_returnflag, 'Unknown')"}) + ")",
-    "w AS (" + _within(_KEYS + _PRICES, "f", 1.5) + ")") + _final("w", 6, _PRICES))(
-    lambda s, d: _round(run_steps(dirty_lineitem(s, d), DEFAULT_STEPS).df, 6, _PRICES))
+    "w AS (" + _within(_KEYS + _PRICES, "f", 1.5) + ")") + _final("w", 6, _PRICES),
+    dirty_lineitem, DEFAULT_STEPS, 6, _PRICES)
 
-query("batch_clean", with_(
+_cleaned("batch_clean", with_(
     SQL_DIRTY_LINEITEM, "u AS (SELECT DISTINCT * FROM dirty_lineitem)",
     "f AS (" + _replace("u", {**{c: _median(c, "u") for c in _PRICES}, "l_returnflag": "trim(coalesce(l_returnflag, 'Unknown'))",
-                              "l_sparse": "trim(coalesce(l_sparse, 'Unknown'))"}) + ")") + _final("f", 6, _PRICES))(
-    lambda s, d: _round(run_steps(dirty_lineitem(s, d), BATCH_STEPS).df, 6, _PRICES))
+                              "l_sparse": "trim(coalesce(l_sparse, 'Unknown'))"}) + ")") + _final("f", 6, _PRICES),
+    dirty_lineitem, BATCH_STEPS, 6, _PRICES)
 
 # Customers as employees.
 _HR = ("hr AS (SELECT c_custkey AS employee_id, c_name AS name, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE c_acctbal END AS salary, "
@@ -75,12 +94,12 @@ def _hr(s, d):
         "CASE WHEN c_custkey % 8 = 0 THEN c_mktsegment END AS nickname", "c_nationkey AS `years exp`")
 
 
-query("template_hr_data", with_(
+_cleaned("template_hr_data", with_(
     _HR, "u AS (SELECT DISTINCT * FROM hr)", "n AS (SELECT * EXCLUDE (nickname) FROM u)",
     "f AS (" + _replace("n", {"salary": _mode("salary", "n"), "department": _mode("department", "n")}) + ")",
     "z AS (" + _replace("f", {c: _scaled(c, "f") for c in ("salary", "years_exp")}) + ")",
-    "w AS (" + _within(["employee_id", "salary", "years_exp"], "z", 2.0) + ")") + _final("w", 8, ["salary", "years_exp"]))(
-    lambda s, d: _round(run_steps(_hr(s, d), TEMPLATES["hr_data"]["steps"]).df, 8, ["salary", "years_exp"]))
+    "w AS (" + _within(["employee_id", "salary", "years_exp"], "z", 2.0) + ")") + _final("w", 8, ["salary", "years_exp"]),
+    _hr, TEMPLATES["hr_data"]["steps"], 8, ["salary", "years_exp"])
 
 # Dirty orders as sales and as ledger entries.
 _SALES = ("sales AS (SELECT o_orderkey AS order_id, o_totalprice / 20 AS amount, o_orderpriority AS product, o_orderdate AS date, "
@@ -93,33 +112,33 @@ def _sales(s, d):
         "o_custkey AS customer")
 
 
-query("template_sales_data", WITH_ORDERS.rstrip() + ", " + ", ".join([
+_cleaned("template_sales_data", WITH_ORDERS.rstrip() + ", " + ", ".join([
     _SALES, "u AS (SELECT DISTINCT * FROM sales)",
     "f AS (" + _replace("u", {"amount": "coalesce(amount, 0)", "product": "coalesce(product, '0')", "customer": "coalesce(customer, 0)"})
     + " WHERE coalesce(u.amount, 0) > 0)",
     "w AS (" + _within(["order_id", "amount", "customer"], "f", 2.5) + ")"]) + """
-    SELECT *, CASE WHEN amount > 10000 THEN 'high' WHEN amount > 1000 THEN 'medium' ELSE 'low' END AS revenue_category FROM w""")(
-    lambda s, d: run_steps(_sales(s, d), TEMPLATES["sales_data"]["steps"]).df)
+    SELECT *, CASE WHEN amount > 10000 THEN 'high' WHEN amount > 1000 THEN 'medium' ELSE 'low' END AS revenue_category FROM w""",
+    _sales, TEMPLATES["sales_data"]["steps"])
 
 _LEDGER = ["transaction_id", "amount", "account"]
-query("template_financial_audit", WITH_ORDERS.rstrip() + ", " + ", ".join([
+_cleaned("template_financial_audit", WITH_ORDERS.rstrip() + ", " + ", ".join([
     "ledger AS (SELECT o_orderkey AS transaction_id, o_totalprice AS amount, coalesce(o_custkey, 0) AS account, o_orderdate AS date, "
     "o_orderpriority AS category FROM dirty_orders)",
     "u AS (SELECT DISTINCT * FROM ledger)", "k AS (SELECT * FROM u WHERE amount IS DISTINCT FROM 0)",
     "w AS (SELECT k.* FROM k, (SELECT " + ", ".join(f"avg({c}) AS m{i}, stddev_samp({c}) AS s{i}" for i, c in enumerate(_LEDGER))
     + " FROM k) WHERE " + " AND ".join(f"abs(({c} - m{i}) / s{i}) <= 3" for i, c in enumerate(_LEDGER)) + ")",
-    "z AS (" + _replace("w", {c: _scaled(c, "w") for c in _LEDGER}) + ") "]) + _final("z", 8, _LEDGER))(
-    lambda s, d: _round(run_steps(dirty_orders(s, d).selectExpr(
+    "z AS (" + _replace("w", {c: _scaled(c, "w") for c in _LEDGER}) + ") "]) + _final("z", 8, _LEDGER),
+    lambda s, d: dirty_orders(s, d).selectExpr(
         "o_orderkey AS transaction_id", "o_totalprice AS amount", "coalesce(o_custkey, 0) AS account", "o_orderdate AS date",
-        "o_orderpriority AS category"), TEMPLATES["financial_audit"]["steps"]).df, 8, _LEDGER))
+        "o_orderpriority AS category"), TEMPLATES["financial_audit"]["steps"], 8, _LEDGER)
 
-query("template_customer_data", """
+_cleaned("template_customer_data", """
     WITH c AS (SELECT DISTINCT c_custkey AS customer_id, c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS country,
                CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS balance FROM customer)
-    SELECT customer_id, name, coalesce(country, 'Unknown') AS country FROM c""")(
-    lambda s, d: run_steps(table(s, d, "customer").selectExpr(
+    SELECT customer_id, name, coalesce(country, 'Unknown') AS country FROM c""",
+    lambda s, d: table(s, d, "customer").selectExpr(
         "c_custkey AS `Customer ID`", "c_name AS name", "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_mktsegment END AS country",
-        "CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS balance"), TEMPLATES["customer_data"]["steps"]).df)
+        "CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS balance"), TEMPLATES["customer_data"]["steps"])
 
 _CATALOG = ("p_partkey AS product_id, p_name AS name, CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_retailprice END AS price, "
             "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_type END AS category, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS stock_quantity")
@@ -128,38 +147,37 @@ _CATALOG_EXPRS = [
     "CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_type END AS category",
     "CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS stock_quantity"]
 
-query("template_product_catalog", with_(
+_cleaned("template_product_catalog", with_(
     f"p AS (SELECT DISTINCT {_CATALOG} FROM part)",
     "f AS (" + _replace("p", {"category": _mode("category", "p"), "stock_quantity": _mode("stock_quantity", "p")}) + ")",
     "k AS (SELECT * FROM f WHERE price > 0)",
-    "z AS (" + _replace("k", {c: _scaled(c, "k") for c in ("price", "stock_quantity")}) + ")") + _final("z", 8, ["price", "stock_quantity"]))(
-    lambda s, d: _round(run_steps(table(s, d, "part").selectExpr(*_CATALOG_EXPRS), TEMPLATES["product_catalog"]["steps"]).df,
-                        8, ["price", "stock_quantity"]))
-query("template_log_analytics", """
+    "z AS (" + _replace("k", {c: _scaled(c, "k") for c in ("price", "stock_quantity")}) + ")") + _final("z", 8, ["price", "stock_quantity"]),
+    lambda s, d: table(s, d, "part").selectExpr(*_CATALOG_EXPRS), TEMPLATES["product_catalog"]["steps"], 8, ["price", "stock_quantity"])
+_cleaned("template_log_analytics", """
     SELECT DISTINCT ts AS timestamp, CASE event_type WHEN 'view' THEN 'DEBUG' ELSE event_type END AS level, props AS message, user_id
-    FROM events WHERE event_type <> 'view'""")(
-    lambda s, d: run_steps(table(s, d, "events").selectExpr(
+    FROM events WHERE event_type <> 'view'""",
+    lambda s, d: table(s, d, "events").selectExpr(
         "ts AS Timestamp", "CASE event_type WHEN 'view' THEN 'DEBUG' ELSE event_type END AS Level", "props AS message",
-        "user_id AS `user id`", "CASE WHEN event_id % 10 = 0 THEN 1 END AS sparse"), TEMPLATES["log_analytics"]["steps"]).df)
+        "user_id AS `user id`", "CASE WHEN event_id % 10 = 0 THEN 1 END AS sparse"), TEMPLATES["log_analytics"]["steps"])
 
 _FEATURES = ["l_quantity", "l_extendedprice"]
 _ALL_NUMERIC = _KEYS + _FEATURES
-query("template_ml_features", with_(
+_cleaned("template_ml_features", with_(
     SQL_DIRTY_LINEITEM, "u AS (SELECT DISTINCT * FROM dirty_lineitem)", "n AS (SELECT * EXCLUDE (l_sparse) FROM u)",
     "f AS (" + _replace("n", {**{c: _median(c, "n") for c in _FEATURES}, "l_returnflag": "coalesce(l_returnflag, 'Unknown')"}) + ")",
     "w AS (" + _within(_ALL_NUMERIC, "f", 1.5) + ")",
     "t AS (" + _replace("w", {c: _standard(c, "w") for c in _ALL_NUMERIC}) + ")",
-    "z AS (" + _replace("t", {c: _scaled(c, "t") for c in _ALL_NUMERIC}) + ")") + _final("z", 8, _ALL_NUMERIC))(
-    lambda s, d: _round(run_steps(dirty_lineitem(s, d), TEMPLATES["ml_features"]["steps"]).df, 8, _ALL_NUMERIC))
+    "z AS (" + _replace("t", {c: _scaled(c, "t") for c in _ALL_NUMERIC}) + ")") + _final("z", 8, _ALL_NUMERIC),
+    dirty_lineitem, TEMPLATES["ml_features"]["steps"], 8, _ALL_NUMERIC)
 
-query("template_survey_data", with_(
+_cleaned("template_survey_data", with_(
     "s AS (SELECT DISTINCT doc_id AS respondent_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality END AS score, "
     "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE toxic END AS response FROM labels)")
-    + _replace("s", {"score": _mode("score", "s"), "response": _mode("response", "s")}))(
-    lambda s, d: run_steps(table(s, d, "labels").selectExpr(
+    + _replace("s", {"score": _mode("score", "s"), "response": _mode("response", "s")}),
+    lambda s, d: table(s, d, "labels").selectExpr(
         "doc_id AS `respondent ID`", "CASE WHEN doc_id % 5 = 0 THEN NULL ELSE quality END AS score",
         "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE toxic END AS response", "CASE WHEN doc_id % 3 = 0 THEN quality END AS extra"),
-        TEMPLATES["survey_data"]["steps"]).df)
+    TEMPLATES["survey_data"]["steps"])
 
 # ---- the runner's log
 
