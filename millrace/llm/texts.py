@@ -19,7 +19,10 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
-    return zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+    """Ids and texts, of which only a few hundred are Python strings at once."""
+    for i in range(0, batch.num_rows, 256):
+        part = batch.slice(i, 256)
+        yield from zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
 
 
 def batch_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:

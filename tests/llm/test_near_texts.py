@@ -1,9 +1,11 @@
-"""Near duplicates by exact similarity against a brute-force version, with pairs on both sides of 0.8."""
+"""Near duplicates against a brute-force version, with pairs on both sides of 0.8: no false links, and those that are found by similarity."""
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from millrace.llm import shingle_sets
+from millrace.llm.near_texts import confirm, near_texts, shingle_hashes
 
 
 def words_of(rng, n):
@@ -46,21 +48,31 @@ def groups(rows):
     return [least[g] for g in label]
 
 
-def check(spark, rows):
+def check(spark, rows, **settings):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     key = lambda t: tuple((x is not None, x) for x in t)
-    got = sorted((tuple(r) for r in shingle_sets.similar_texts(docs).collect()), key=key)
+    got = sorted((tuple(r) for r in near_texts(docs, **settings).collect()), key=key)
     assert got == sorted([(i, g) for (i, _), g in zip(rows, groups(rows))], key=key)
 
 
-def test_every_pair_on_both_sides_of_the_threshold(spark):
+def test_pairs_on_both_sides_of_the_threshold(spark):
+    """At the default radius nothing false is linked and pairs are found by band; at a radius of all bits none is missed."""
     rows = pairs()
-    near = [alike(shingles(a[1]), shingles(b[1])) for a, b in zip(rows[::2], rows[1::2])]
-    assert 100 < sum(near) < 260
-    check(spark, rows)
+    sets = [shingles(t) for _, t in rows]
+    like = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 100 < sum(x >= 0.8 for x in like) < 260
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect())
-    assert kept == sorted([r[0] for r in rows[::2]] + [r[0] for r, n in zip(rows[1::2], near) if not n])
+    got = dict(tuple(r) for r in near_texts(docs).collect())
+    linked = [got[r[0]] != r[0] for r in rows[1::2]]
+    for low, high, least in ((0, 0.8, None), (0.8, 0.85, 0.8), (0.85, 0.9, 0.9), (0.9, 1.01, 0.97)):
+        band = [hit for hit, x in zip(linked, like) if low <= x < high]
+        print(low, high, len(band), sum(band) / max(len(band), 1))
+        assert sum(band) == 0 if least is None else sum(band) >= least * len(band)
+    assert all(x >= 0.8 for x, hit in zip(like, linked) if hit)
+    near = [hit for hit, x in zip(linked, like) if x >= 0.8]
+    assert sum(near) >= 0.9 * len(near)
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    assert kept == {i for i, g in got.items() if i == g}
 
 
 def test_a_group_whose_members_differ_from_one_another(spark):
@@ -72,10 +84,33 @@ def test_a_group_whose_members_differ_from_one_another(spark):
             own[k] = words_of(rng, 1)[0]
         rows.append((i, " ".join(own)))
     check(spark, rows)
+    check(spark, rows, chunk=4000)
 
 
 def test_odd_rows(spark):
     rows = [(5, None), (4, ""), (None, " \n"), (7, "one two"), (6, "One  Two"), (None, "one two three"), (8, "a b c d e"), (8, "a b c d e"), (9, "a b c d f"),
             (1, "x " * 3000), (None, "X " * 50), (3, "é 漢字 é é é é"), (None, "nothing is like this text here")]
     check(spark, rows)
-    assert shingle_sets.similar_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert near_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_confirmed_links_against_all_pairs():
+    rng = random.Random(4)
+    bases = [words_of(rng, 60) for _ in range(4)]
+    sets = []
+    for _ in range(60):
+        own = list(rng.choice(bases))
+        for k in rng.sample(range(60), rng.randint(0, 5)):
+            own[k] = words_of(rng, 1)[0]
+        sets.append(np.unique(shingle_hashes([w.encode() for w in own], 5)))
+    sets += [np.zeros(0, np.uint64)] * 2
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            both, whole = len(np.intersect1d(sets[a], sets[b])), len(np.union1d(sets[a], sets[b]))
+            if both >= 0.8 * whole:
+                label = [label[a] if x == label[b] else x for x in label]
+    got = list(range(len(sets)))
+    for a, b in zip(*confirm(range(len(sets)), [0] * len(sets), sets, 0.8, 64)):
+        got = [got[a] if x == got[b] else x for x in got]
+    assert [[x == y for y in label] for x in label] == [[x == y for y in got] for x in got]
