@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import csv
-import json
 import os
 import re
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import convert
 from ..functions.columns import col, nan_to_null, refuse_case_twins
 from ..functions.stats import measure
+from .records import is_one_value, one_per_line, text_lines
+from .scratch import scratch_path
 
 # Cell texts that stand for a missing value.
 MISSING_TEXTS = [
@@ -156,61 +157,27 @@ def read_csv_spark(spark: SparkSession, path) -> DataFrame:
 def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = None) -> DataFrame:
     """A top-level array gives one row per element, an object one row.
 
-    Files with one value per line are split among tasks; a value over several
-    lines makes its file one document, read by one task. `by_line=None` tells
-    them apart file by file: a document has no complete line at all, or parses
-    as one value as a whole; every other file is read by line. A broken line
-    stays as a row, with its text in `_corrupt_record`.
+    Files with one value on each line are read as they are. In others values
+    are told by their brackets, so that they may go over several lines, follow
+    one another on a line or be the elements of one array; they are written
+    once, one to a line, and read from there (so `_metadata` names that file). Neither kind needs a file in one
+    task. What is no value stays as a row, with its text in `_corrupt_record`.
+    `by_line` says that all files (True) or no files (False: each is one
+    document) have a value on each line.
     """
     if by_line is not None:
         return _read_json(spark, path, by_line, schema)
-    files = _json_kinds(spark, path)
-    kinds = {kind: [unquote(r.file) for r in files if r.by_line == kind] for kind in (True, False)}
-    if not all(kinds.values()):
-        return _read_json(spark, path, not kinds[False], schema)
-    parts = {kind: _read_json(spark, names, kind, schema) for kind, names in kinds.items()}
-    if schema is None:
-        types = [dict(p.dtypes) for p in parts.values()]
-        differ = [c for c in types[0] if c in types[1] and types[0][c] != types[1][c]]
-        if differ:  # what the two kinds do not agree on is text
-            both = {f.name: f.dataType for p in parts.values() for f in p.schema} | dict.fromkeys(differ, T.StringType())
-            agreed = T.StructType([T.StructField(n, t) for n, t in both.items()])
-            parts = {kind: _read_json(spark, names, kind, agreed) for kind, names in kinds.items()}
-    return parts[True].unionByName(parts[False], allowMissingColumns=True)
-
-
-def _json_kinds(spark: SparkSession, path) -> list[Row]:
-    """(file, by_line) of each file that is not blank.
-
-    Only a file with complete and other lines that begins and ends as a
-    document, and closes as many brackets as it opens, is parsed as a whole.
-    """
-    line = F.regexp_replace(F.trim("value"), "^\ufeff|\r$", "")
-    complete = line.rlike(r"^(\[.*\]|\{.*\})$") & F.try_parse_json(line).isNotNull()
-    bare = F.regexp_replace(line, r'"(\\.|[^"\\])*"', "")
-    depth = F.length(F.regexp_replace(bare, r"[^\[{]", "")) - F.length(F.regexp_replace(bare, r"[^\]}]", ""))
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("file"), complete.alias("complete"), depth.cast("long").alias("depth"),
-        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
-        line.rlike(r"^[\[{]").alias("opens"), line.rlike(r"[\]}]$").alias("closes"))
-    seen = lines.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("complete").alias("n_complete"), F.sum("depth").alias("depth"),
-        F.min_by(F.struct("complete", "opens"), "at").alias("first"), F.max_by("closes", "at").alias("closes"))
-    whole = F.expr("n_complete < n AND first.opens AND NOT first.complete AND closes AND depth = 0")
-    kinds = seen.select("file", (F.col("n_complete") > 0).alias("by_line"), whole.alias("may_be_whole")).orderBy("file").collect()
-    open_ = [unquote(r.file) for r in kinds if r.by_line and r.may_be_whole]
-    documents = set()
-    if open_:
-        def parses(text):
-            try:
-                json.loads(text.lstrip("\ufeff"), strict=False)
-            except ValueError:
-                return False
-            return True
-
-        texts = spark.read.text(open_, wholetext=True)
-        documents = {r.file for r in texts.where(F.udf(parses, "boolean")("value")).select(F.col("_metadata.file_path").alias("file")).collect()}
-    return [Row(file=r.file, by_line=r.by_line and r.file not in documents) for r in kinds]
+    lines = text_lines(spark, path)
+    kinds = lines.groupBy("file").agg(F.min(is_one_value(F.col("value"))).alias("plain")).orderBy("file").collect()  # one row per file, as in the listing
+    plain, other = ([unquote(r.file) for r in kinds if r.plain == is_plain] for is_plain in (True, False))
+    if other:
+        made = scratch_path(spark, "values")
+        one_per_line(text_lines(spark, other)).write.text(made)
+        plain.append(made)
+    found = _read_json(spark, plain or path, True, schema)
+    if found.columns == ["_corrupt_record"]:  # Spark does not answer with nothing but broken lines
+        return text_lines(spark, plain).select(F.col("value").alias("_corrupt_record"))
+    return found
 
 
 def _read_json(spark: SparkSession, path, by_line: bool, schema) -> DataFrame:

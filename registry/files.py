@@ -100,6 +100,23 @@ def _broken(s, d):
     return found.agg(F.count(F.lit(1)).alias("rows"), F.count("event_id").alias("events"), F.sum("event_id").cast("bigint").alias("ids"))
 
 
+def _many_documents(s, d):
+    """Files of objects over several lines, one after the other, at times two on a line."""
+    path = scratch_path(s, "many") + ".json"
+    fields = ("event_id", "user_id", "event_type", "value")
+    event = F.to_json(F.struct(*fields))
+    over_lines = F.concat(F.lit("{\n  "), F.regexp_replace(F.substring(event, 2, 2**31 - 1), '([0-9"]),"', '$1,\n  "'))
+    dirty_events(s, d).select(F.when(F.col("event_id") % 7 == 0, event).otherwise(F.concat(over_lines, F.lit("\n"))).alias("value")).write.option("lineSep", " ").text(path)
+    return read.read_dataset(s, path).select(*fields)
+
+
+def _all_broken(s, d):
+    """Nothing but lines that break off: each is a row."""
+    path = scratch_path(s, "broken") + ".json"
+    dirty_events(s, d).select(F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string")).alias("value")).write.text(path)
+    return read.read_dataset(s, path).select(F.col("_corrupt_record").alias("line"))
+
+
 def _headers(s, d):
     """Files of one folder that name their columns in another order, or have one more."""
     path = scratch_path(s, "headers") + ".csv"
@@ -112,6 +129,8 @@ def _headers(s, d):
 query("json_document_scan", _EVENTS_READ)(lambda s, d: _document_scan(s, d, use_spark=False))
 query("json_spark_scan", _EVENTS_READ)(lambda s, d: _document_scan(s, d, use_spark=True))
 query("json_mixed_folder", _EVENTS_READ)(_mixed)
+query("json_many_documents", _EVENTS_READ)(_many_documents)
+query("json_all_broken", WITH_EVENTS + "SELECT '{\"event_id\":' || event_id AS line FROM dirty_events")(_all_broken)
 query("json_broken_lines", WITH_EVENTS + """
     SELECT count(*) + count_if(event_id % 10 = 0) AS rows, count(event_id) AS events, sum(event_id)::BIGINT AS ids FROM dirty_events""")(_broken)
 query("csv_folder_headers", """
@@ -172,9 +191,9 @@ query("table_store", "SELECT event_type, count(*) AS record_count, max(value) AS
 def _discovered(s, d):
     """Data files of a folder that also holds others, each read by its suffix."""
     folder, orders = scratch_path(s, "found"), table(s, d, "orders").select("o_orderkey", "o_orderstatus")
-    orders.filter("o_orderkey % 3 = 0").coalesce(1).write.option("header", True).csv(folder)
-    orders.filter("o_orderkey % 3 = 1").coalesce(1).write.mode("append").json(folder)
-    orders.filter("o_orderkey % 3 = 2").coalesce(1).write.mode("append").parquet(folder)  # not among the suffixes looked for
+    orders.filter("o_orderkey % 3 = 0").write.option("header", True).csv(folder)
+    orders.filter("o_orderkey % 3 = 1").write.mode("append").json(folder)
+    orders.filter("o_orderkey % 3 = 2").write.mode("append").parquet(folder)  # not among the suffixes looked for
     every = None
     for path in read.list_files(s, folder):
         one = read.with_file_name(read.read_dataset(s, path)).select(
