@@ -8,6 +8,7 @@ from millrace.plans.steps import fit_steps, run_steps
 from millrace.plans.templates import BATCH_STEPS, DEFAULT_STEPS, TEMPLATES
 from millrace.sources.scratch import scratch_path, settle
 from millrace.streaming.incremental import clean_new_files
+from millrace.streaming.states import described, merged_states, refit, remember
 
 from . import query
 from .inputs import SQL_DIRTY_LINEITEM, WITH_ORDERS, dirty_lineitem, dirty_orders, table, with_
@@ -66,6 +67,26 @@ def _cleaned(name, sql, source, steps, digits=0, cols=()):
     query(f"incremental_{name}", sql)(lambda s, d: _round(_arrivals(s, source(s, d), steps), digits, cols))
 
 
+def _described(s, d):
+    """Columns of sales behind the template's plain steps, from the states of two arrivals."""
+    df, steps = settle(_sales(s, d)), TEMPLATES["sales_data"]["steps"]
+    folder, out, checkpoint, store = (scratch_path(s, x) for x in ("arrivals", "cleaned", "progress", "states"))
+    fitted, observe = fit_steps(df, steps), remember(s, df.schema, steps, store)
+    for early in (True, False):
+        df.filter("Amount < 5000 OR `Order ID` % 50 = 0" if early else "NOT coalesce(Amount < 5000, false)").write.mode("append").parquet(folder)
+        clean_new_files(s, folder, df.schema, fitted, out, checkpoint, observe=observe)
+    return described(merged_states(s, store)), refit(s, df.schema, steps, store)
+
+
+def _states(s, d):
+    found, refitted = _described(s, d)
+    bounds = next(x["fitted"] for x in refitted if x["name"] == "remove_outliers")
+    kept = s.createDataFrame([(c, b is not None and a < b) for c, (a, b) in bounds.items()], "column string, has_bounds boolean")
+    return found.join(kept, "column", "left").select(
+        "column", "rows", "nulls", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round("mean", 4).alias("mean"),
+        F.round("std", 4).alias("std"), F.coalesce("has_bounds", F.lit(False)).alias("has_bounds"))
+
+
 _PRICES = ["l_quantity", "l_extendedprice"]
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -198,3 +219,13 @@ query("step_log", WITH_ORDERS + _LOGGED + """
     UNION ALL SELECT 5, 'drop_nulls', 'failed', n3, NULL, NULL FROM n
     UNION ALL SELECT 6, 'drop_columns', 'success', n3, n3, 0 FROM n""")(
     lambda s, d: run_steps(dirty_orders(s, d), _STEPS, metrics=True).log_frame(s).drop("duration_s", "error"))
+
+# ---- statistics that follow arrivals
+
+_BEHIND = ("u AS (SELECT DISTINCT * FROM sales), f AS (SELECT order_id, coalesce(amount, 0) AS amount, coalesce(product, '0') AS product, date, "
+           "coalesce(customer, 0) AS customer FROM u WHERE coalesce(amount, 0) > 0)")
+query("incremental_states", WITH_ORDERS.rstrip() + ", " + _SALES + ", " + _BEHIND + " " + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) AS rows, count(*) - count({c}) AS nulls, " + (
+        f"round(min({c})::DOUBLE, 6) AS low, round(max({c})::DOUBLE, 6) AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, true AS has_bounds"
+        if c in ("order_id", "amount", "customer") else "NULL::DOUBLE AS low, NULL::DOUBLE AS high, NULL::DOUBLE AS mean, NULL::DOUBLE AS std, false AS has_bounds") + " FROM f"
+    for c in ("order_id", "amount", "product", "date", "customer")))(_states)
