@@ -244,9 +244,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are known by id and digest, so that null and repeated ids are safe.
     """
-    @F.pandas_udf("binary")
-    def digest(texts):
-        return texts.map(lambda t: text_digest(t or ""))
+    @F.arrow_udf("binary")
+    def digest(texts: pa.Array) -> pa.Array:
+        return pa.array((text_digest(t.as_py() or "") for t in texts), pa.binary())
 
     free = "_" * (1 + max(map(len, docs.columns)))  # longer than any name, so that none of these clashes
     of, keep, kept_of = f"{free}of", f"{free}keep", f"{free}kept"

@@ -16,7 +16,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,9 +124,10 @@ def score_quality(docs: DataFrame, classifier: CompressionClassifier, id_col: st
 
 def quality_score(classifier: CompressionClassifier):
     """A column function from text to score, which compresses Arrow batches."""
-    @F.pandas_udf("double")
-    def score(batches: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         measure = classifier.sizes()
-        return pd.Series(classifier.score(np.array([measure(t or "") for t in batches])))
+        sizes = [measure(t.as_py() or "") for t in texts]
+        return pa.array(classifier.score(np.array(sizes)) if sizes else [], pa.float64())
 
     return score

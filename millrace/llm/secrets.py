@@ -14,8 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from itertools import accumulate
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +24,9 @@ from .texts import batch_of, rows_of, texts_of
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "weak_access", "weak_secret", "endpoint")
-_ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "weak_access": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
+_ROLES = {"assign": "secret", "access": "identifier", "hex": "digits", "weak_access": "identifier", "weak_secret": "secret", "endpoint": "endpoint"}
+#: What completes a weak part of a role. Bare hexadecimal digits may be any checksum, so they complete identifiers only.
+_PARTNERS = {"identifier": ("secret", "endpoint", "digits"), "secret": ("identifier", "endpoint"), "endpoint": ("identifier", "secret")}
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 # Runs are maximal, so asking for the length at once finds the same spans as dropping short ones.
@@ -60,8 +61,9 @@ def find_spans(text: str, scope: int = 200) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind.
 
     A weak part counts if a part of another role stands at most `scope` code
-    points away, from the end of the one to the start of the other: any two of
-    identifier, secret and endpoint complete each other.
+    points away, from the end of the one to the start of the other, and the two
+    do not overlap: any two of identifier, secret and endpoint complete each
+    other, bare hexadecimal digits an identifier alone.
     """
     base, weak = _parts(text)
     if weak:
@@ -70,12 +72,14 @@ def find_spans(text: str, scope: int = 200) -> list[tuple[str, int, int]]:
         for start, kind, end in sorted(base + weak):
             starts.setdefault(_ROLES[KINDS[kind]], []).append(start)
             ends.setdefault(_ROLES[KINDS[kind]], []).append(end)
-        reach = {role: list(accumulate(e, max)) for role, e in ends.items()}
+        for role in ends.values():
+            role.sort()
 
         def completed(start: int, kind: int, end: int) -> bool:
-            for role in starts.keys() - {_ROLES[KINDS[kind]]}:
-                before = bisect_right(starts[role], end + scope)
-                if before and reach[role][before - 1] >= start - scope:
+            for role in _PARTNERS[_ROLES[KINDS[kind]]]:
+                ahead, behind = ends.get(role, ()), starts.get(role, ())
+                before, after = bisect_right(ahead, start), bisect_left(behind, end)
+                if before and ahead[before - 1] >= start - scope or after < len(behind) and behind[after] <= end + scope:
                     return True
             return False
 
@@ -120,8 +124,8 @@ def mask(text: str, scope: int = 200) -> str:
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFrame:
     """The same rows and columns with secrets masked in `text_col`; null texts stay null."""
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: None if t is None else mask(t, scope))
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array((None if (t := x.as_py()) is None else mask(t, scope) for x in texts), pa.string())
 
     return docs.withColumn(text_col, masked(F.col(text_col)))

@@ -44,7 +44,7 @@ class PieceEncoder:
         # Word by word needs: no piece across the start of a word, text taken as it is, one blank put before it.
         self.by_word = not any(_BLANK in p.lstrip(_BLANK) for p in long) and not any("\n" in p for p in long) \
             and self._as_it_is() and all(lib.is_byte(i) for i in self.bytes)
-        self.limit, self.words, self.older = limit, {}, {}
+        self.limit, self.words, self.older, self.replaced = limit, {}, {}, {}
 
     def _as_it_is(self) -> bool:
         """Whether the model neither normalises texts nor drops blanks."""
@@ -103,12 +103,19 @@ class PieceEncoder:
                 blanks = 0
         return made + [" " * (blanks - 1)] * (blanks > 0)
 
-    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], int]:
-        """Ids of each text with begin and end, as little-endian unsigned 32-bit integers; how often the library disagreed."""
+    def encode_batch(self, texts: list[str]) -> tuple[list[bytes], list[int]]:
+        """Ids of each text with begin and end, as little-endian unsigned 32-bit integers, and how many of its words the library gives otherwise.
+
+        Ids are those of the agenda, word by word where pieces allow it and
+        else text by text. All that is new is encoded by the library too,
+        whose ids replace those that differ.
+        """
         pack = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         begin, end = pack([self.begin]), pack([self.end])
         if not self.by_word:
-            return [begin + pack(ids) + end for ids in self.library.encode(texts, num_threads=1)], 0
+            merged = [self.merge(_BLANK + t.replace(" ", _BLANK)) if t else [] for t in texts]
+            checked = self.library.encode(texts, num_threads=1)
+            return [begin + pack(a if a == b else b) + end for a, b in zip(merged, checked)], [int(a != b) for a, b in zip(merged, checked)]
         split = [self.chunks(t) if t else [] for t in texts]
         if len(self.words) > self.limit:
             self.older, self.words = self.words, {}
@@ -116,7 +123,6 @@ class PieceEncoder:
         unseen = {w for words in split for w in words if w not in known}
         known |= {w: older[w] for w in unseen if w in older}
         new = [w for w in unseen if w not in known]
-        differ = 0
         for w, theirs in zip(new, self.library.encode(new, num_threads=1)):
             if w[:1] == "\n":
                 ours, theirs = self.merge(w), theirs[1:]  # the library puts a blank before it
@@ -125,10 +131,12 @@ class PieceEncoder:
                 if not w:
                     theirs = ours  # a blank alone; the library gives nothing for an empty text
             if ours != theirs:
-                differ += 1
-            known[w] = pack(theirs)
-        find = known.__getitem__
-        return [begin + b"".join(map(find, words)) + end for words in split], differ
+                self.replaced[w] = pack(theirs)
+            known[w] = pack(ours)
+        if self.replaced:
+            known |= {w: ids for w, ids in self.replaced.items() if w in known}
+        find, other = known.__getitem__, self.replaced
+        return [begin + b"".join(map(find, words)) + end for words in split], [sum(w in other for w in words) if other else 0 for words in split]
 
     def decode(self, ids: bytes) -> str:
         return self.library.decode(np.frombuffer(ids, dtype="<u4").tolist())
@@ -181,13 +189,13 @@ def decode_pieces(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text's ids and of what they decode to, in one pass; `n_differ` counts words of the batch where the library disagreed."""
+    """Digests of each text's ids and of what they decode to, in one pass; `n_differ` counts its words for which the library's ids were taken."""
     def run(batches):
         own = encoder(path)
         sha: Callable = lambda b: hashlib.sha256(b).hexdigest()
         for part in _slices(batches):
             ids, texts = zip(*rows_of(part))
             made, differ = own.encode_batch(list(texts))
-            yield batch_of(_DIGESTS, [(i, len(b) // 4, sha(b), sha(own.decode(b).encode()), differ) for i, b in zip(ids, made)])
+            yield batch_of(_DIGESTS, [(i, len(b) // 4, sha(b), sha(own.decode(b).encode()), n) for i, b, n in zip(ids, made, differ)])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_differ long")

@@ -245,16 +245,16 @@ def link_nodes(nodes: DataFrame, radius: int, radius2: int = 64, cell_rows: int
     rows = nodes.count()
     steer = nodes.select("fp").orderBy(F.xxhash64("fp")).limit(1500).collect()  # for the estimate alone
     parts = plan(np.array([r.fp for r in steer], dtype=np.int64).view(np.uint64), rows, radius)
-    sigs = _signatures(nodes, parts).withColumn("cell", F.lit(0)).withColumn("side", F.lit(2))
+    sigs = _signatures(nodes, parts).withColumn("cell", F.lit(0).cast("long")).withColumn("side", F.lit(2))
     large = settle(sigs.groupBy("sig").count().where(F.col("count") > cell_rows), "large")
     if not large.isEmpty():
-        many = F.ceil(F.coalesce(F.col("count"), F.lit(0)) / (cell_rows // 2)).cast("int")
+        many = F.ceil(F.coalesce(F.col("count"), F.lit(0)) / (cell_rows // 2)).cast("long")
         dealt = sigs.drop("cell", "side").join(large, "sig", "left").withColumn("_many", many)
-        dealt = dealt.withColumn("_own", F.when(F.col("_many") > 0, F.pmod(F.xxhash64("node"), F.col("_many"))).cast("int"))
+        dealt = dealt.withColumn("_own", F.when(F.col("_many") > 0, F.pmod(F.xxhash64("node"), F.col("_many"))))
         # Cell (x, y), x <= y, is numbered x * many + y; a row of chunk c stands in those with c in them.
-        cells = F.expr("""CASE WHEN _many > 0 THEN transform(sequence(0, _many - 1), o -> struct(
-            cast(least(o, _own) * _many + greatest(o, _own) AS int) AS cell,
-            CASE WHEN o = _own THEN 2 WHEN o < _own THEN 1 ELSE 0 END AS side)) ELSE array(struct(0 AS cell, 2 AS side)) END""")
+        cells = F.expr("""CASE WHEN _many > 0 THEN transform(sequence(0L, _many - 1), o -> struct(
+            least(o, _own) * _many + greatest(o, _own) AS cell,
+            CASE WHEN o = _own THEN 2 WHEN o < _own THEN 1 ELSE 0 END AS side)) ELSE array(struct(0L AS cell, 2 AS side)) END""")
         sigs = dealt.withColumn("_c", F.explode(cells)).select("sig", F.col("_c.cell").alias("cell"), F.col("_c.side").alias("side"), "kind", "node", "fp", "fp2")
     sigs = sigs.select("sig", "cell", "kind", "side", "node", "fp", "fp2")
     return sigs.repartition("sig", "cell").sortWithinPartitions("sig", "cell").mapInArrow(lambda b: _linked(b, radius, radius2), "a long, b long")

@@ -303,7 +303,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = _BUCKET, id
         F.col("one.uid").alias("uid"), F.struct("core", F.col("one.loc").alias("loc"), (F.col("n") == 1).alias("single"), (F.col("many") > bucket).alias("large")).alias("w"))
     asked = asked.groupBy("uid").agg(F.collect_list("w").alias("wanted"))
     packed = _packed(texts)
-    contexts = settle(packed.join(asked, "uid").select("uid", "packed", "wanted").mapInArrow(
+    # Rows with the same id and text are one text, whose stretches are looked at once.
+    contexts = settle(packed.join(asked, "uid").select("uid", "packed", "wanted").dropDuplicates(["uid"]).mapInArrow(
         lambda b: _contexts(b, length), "core long, uid long, loc long, single boolean, large boolean, bytes binary"), "contexts")
     _release(docs)
     ordered = contexts.where("NOT large").drop("large").repartition("core").sortWithinPartitions("core").mapInArrow(
@@ -312,7 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = _BUCKET, id
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
     counted = windows.where("single").join(twice, ["w1", "w2"]).select("uid", F.col("at").alias("start"), F.col("at").alias("stop"))
 
-    found = settle(whole.union(ordered).union(counted).groupBy("uid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops")), "found")
+    spans = whole.union(ordered).union(counted).groupBy("uid").agg(F.collect_set(F.struct("start", "stop")).alias("s"))
+    found = settle(spans.select("uid", F.col("s.start").alias("starts"), F.col("s.stop").alias("stops")), "found")
     _release(docs)
     return packed.join(found, "uid", "left").select("doc_id", "packed", "starts", "stops").mapInArrow(
         lambda b: _removed(b, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -38,15 +38,20 @@ def held_out(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, max_chars: int) -> DataFrame:
     """(doc_id, text, quality) of at most `rows` learnable documents per label, in an order that a hash gives.
 
-    Ids are picked from the small label table first; the documents are scanned
-    once and never shuffled, since at most 2 * rows ids are broadcast. Texts
-    over `max_chars` are left out of the sample (not out of any result).
+    Ids are picked from the small label table first, those with both labels
+    left out; the documents are scanned once and their texts shuffled only if
+    picked, since at most 2 * rows ids are broadcast. Of several texts with one
+    id one is taken, by hash. Texts over `max_chars` are left out of the sample
+    (not out of any result).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("doc_id").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("quality")]
+    known = known.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    known = known.where("quality = other").drop("other")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("quality = 1").orderBy(*order).limit(rows).union(known.where("quality = 0").orderBy(*order).limit(rows))
-    return texts_of(docs).where(F.length("text") <= max_chars).join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id")
+    found = texts_of(docs).where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).getField("text").alias("text"), F.first("quality").alias("quality"))
 
 
 class Recent(dict):

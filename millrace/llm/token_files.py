@@ -30,8 +30,8 @@ _SHARD_DDL = "part int, before long, n_tokens long, doc_ids array<long>, sizes b
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def build_grammar(tokens: np.ndarray, ends: np.ndarray, rounds: int, least: int, most: int) -> dict:
-    """Replace frequent pairs by new symbols, round after round.
+def build_grammar(tokens: np.ndarray, ends: np.ndarray, least: int, most: int) -> dict:
+    """Replace frequent pairs by new symbols, round after round until none is found `least` times.
 
     tokens: ids of documents one after another; ends: where each ends. A
     round counts all pairs, takes up to `most` of those found `least` times or
@@ -43,9 +43,7 @@ def build_grammar(tokens: np.ndarray, ends: np.ndarray, rounds: int, least: int,
     numbers[ids] = np.arange(len(ids), dtype=np.uint32)
     symbols = numbers[tokens]
     rules, n_symbols, ends = [np.zeros((0, 2), np.uint32)], len(ids), ends.astype(np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         # Two symbols fit one 32-bit key while there are few of them.
         kind, shift = (np.uint32, 16) if n_symbols + most <= 1 << 16 else (np.uint64, 32)
         keys = symbols[:-1].astype(kind) << kind(shift) | symbols[1:]
@@ -134,7 +132,7 @@ class Shard:
             at += n
 
 
-def token_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int = 1 << 20, rounds: int = 4, least: int = 8, most: int = 4096,
+def token_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int = 1 << 20, least: int = 8, most: int = 4096,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per shard, in ascending order of documents within and between parts.
 
@@ -150,7 +148,7 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int
 
         def shard():
             sizes = np.array([len(p) // 4 for p in parts], dtype="<u4")
-            made = build_grammar(np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(sizes, dtype=np.int64), rounds, least, most)
+            made = build_grammar(np.frombuffer(b"".join(parts), dtype="<u4"), np.cumsum(sizes, dtype=np.int64), least, most)
             return batch_of(_SHARD, [(part, before, total, ids, sizes.tobytes(), *(made[c].tobytes() for c in ("ids", "rules", "lengths", "ends", "symbols")))])
 
         for batch in batches:
@@ -164,7 +162,8 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 1, shard_tokens: int
         if parts:
             yield shard()
 
-    ordered = texts_of(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    order = [F.col("doc_id"), F.xxhash64("text")]  # rows of one id, or without any, are dealt out too
+    ordered = texts_of(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, _SHARD_DDL)
 
 
