@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,11 @@ AGGREGATES = {
     "approx_count_distinct": F.approx_count_distinct, "skewness": F.skewness, "kurtosis": F.kurtosis,
     "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True),
     "sum_distinct": F.sum_distinct, "bool_and": F.bool_and, "bool_or": F.bool_or, "any_value": F.any_value,
+    "product": F.product, "percentile_approx": lambda c: F.percentile_approx(c, 0.5),
+    "approx_percentile": lambda c: F.percentile_approx(c, 0.5), "size": lambda c: F.count(F.lit(1)),
 }
-GROUP_ORDER = ("median",)  # exact and spread over tasks, see functions.ordered
+# Exact and spread over tasks, see functions.ordered; modes are counted by group and value first.
+GROUP_ORDER = ("median", "percentile", "mode")
 
 
 def aggregate(df: DataFrame, group_by: list[str] | str | None = None, aggregations: dict | None = None,
@@ -49,14 +54,23 @@ def aggregate(df: DataFrame, group_by: list[str] | str | None = None, aggregatio
     plain = [AGGREGATES[n](value(df, c)).alias(out) for c, n, out in wanted if n in AGGREGATES]
     result = source.groupBy(*by_key).agg(*plain) if plain else source.select(*by_key).distinct()
     for i, (c, n, out) in enumerate(w for w in wanted if w[1] in GROUP_ORDER):
-        side = ordered.group_quantiles(source, keys, c, [0.5])
-        side = side.select(*[col(k).alias(f"_g{j}") for j, k in enumerate(keys)], F.col("quantiles")[0].alias(out))
+        grouped = [col(k).alias(f"_g{j}") for j, k in enumerate(keys)]
+        if n == "mode":
+            side = _modes(source.select(*grouped, value(source, c).alias("_v")), [f"_g{j}" for j in range(len(keys))], out)
+        else:
+            side = ordered.group_quantiles(source, keys, c, [0.5]).select(*grouped, F.col("quantiles")[0].alias(out))
         on = ordered.same(by_key, [F.col(f"_g{j}") for j in range(len(keys))])
         result = result.join(side, on, "left").drop(*[f"_g{j}" for j in range(len(keys))])
     result = result.select(*by_key, *[col(out) for _, _, out in wanted])
     return result.orderBy(*by_key) if agg is None else result
 
 
+def _modes(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """The most frequent value `_v` of each group, the smallest on a tie; values are counted on the map side before groups meet."""
+    counted = df.where("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("_n")).alias("_n"), "_v")).getField("_v").alias(out))
+
+
 def window(df: DataFrame, partition_by: list[str] | str | None = None, order_by: list[str] | str | None = None,
            fn: str = "row_number", column: str | None = None, group_limit: int = ordered.GROUP_LIMIT,
            ranges: int | None = None) -> DataFrame:
@@ -77,6 +91,10 @@ def window(df: DataFrame, partition_by: list[str] | str | None = None, order_by:
 
 
 def sql_step(df: DataFrame, sql: str, view: str = "source_table") -> DataFrame:
-    """Any query over the table, which it sees under the view's name."""
-    df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(sql)
+    """Any query over the table, which it sees under the view's name; a view that the caller has under that name stays as it is."""
+    spark, hidden = df.sparkSession, f"_{view}_{uuid4().hex}"
+    df.createOrReplaceTempView(hidden)
+    try:
+        return spark.sql(f"WITH `{view}` AS (SELECT * FROM {hidden}) SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")
+    finally:
+        spark.catalog.dropTempView(hidden)

@@ -52,6 +52,14 @@ query("agg_group_median", WITH_LINEITEM + """
     WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY 1""")(
     lambda s, d: _rounded(group.aggregate(dirty_lineitem(s, d), ["l_returnflag"], {"l_extendedprice": "median"}),
                           6, "l_extendedprice"))
+query("agg_more_names", """
+    WITH n AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY 1, 2),
+         m AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS k FROM n)
+    SELECT o.o_orderstatus, any_value(m.o_orderpriority) AS o_orderpriority_mode, count(*) AS o_custkey_size,
+           round(median(o_totalprice), 6) AS o_totalprice_percentile
+    FROM orders o LEFT JOIN m ON m.o_orderstatus = o.o_orderstatus AND m.k = 1 GROUP BY 1""")(
+    lambda s, d: _rounded(group.aggregate(table(s, d, "orders"), ["o_orderstatus"], agg={
+        "o_orderpriority": "mode", "o_custkey": "size", "o_totalprice": "percentile"}), 6, "o_totalprice_percentile"))
 
 # ---- windows
 
