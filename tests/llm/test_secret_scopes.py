@@ -1,4 +1,4 @@
-"""Scopes of weak parts are gaps between them, and any two roles complete each other."""
+"""Scopes of weak parts are gaps between parts that do not overlap; bare digits complete identifiers alone."""
 
 import random
 
@@ -6,6 +6,9 @@ import pytest
 
 from millrace.llm import secrets
 
+ROLE = {"assign": "secret", "weak_secret": "secret", "access": "identifier", "weak_access": "identifier", "endpoint": "endpoint", "hex": "digits"}
+COMPLETE = [{"secret", "identifier"}, {"secret", "endpoint"}, {"identifier", "endpoint"}, {"identifier", "digits"}]
+
 
 @pytest.mark.parametrize("text, kinds", [
     ("https://" + "h" * 220 + " AKIAABCDEFGH", ["endpoint", "weak_access"]),
@@ -24,6 +27,6 @@ def test_pairs_one_by_one():
     for _ in range(300):
         text = "".join(rng.choice(some) + " " + "." * rng.randint(0, 150) + " " for _ in range(rng.randint(1, 9)))
         base, weak = secrets._parts(text)
-        role = lambda p: secrets._ROLES[secrets.KINDS[p[1]]]
-        kept = [p for p in weak if any(role(p) != role(q) and max(q[0] - p[2], p[0] - q[2]) <= 60 for q in base + weak)]
+        role = lambda p: ROLE[secrets.KINDS[p[1]]]
+        kept = [p for p in weak if any({role(p), role(q)} in COMPLETE and 0 <= max(q[0] - p[2], p[0] - q[2]) <= 60 for q in base + weak)]
         assert secrets.find_spans(text, 60) == [(secrets.KINDS[k], a, b) for a, k, b in sorted(base + kept)]
