@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.columns import CATEGORICAL, DATETIME, NUMERIC, col, flat, kinds
+from ..functions.comoments import correlations
 from ..functions.stats import value
 
 PROFILE = (
@@ -206,24 +207,14 @@ def pearson(x, y):
 
 
 def correlation(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
-    """All ordered pairs of numeric columns, each unordered pair measured once.
-
-    One scan whatever the number of columns: a row is dealt into its pairs, which are combined before the shuffle.
-    """
+    """All ordered pairs of numeric columns, from one scan whose shuffle grows with the columns and not with the rows."""
     numeric = columns or [c for c, k in kinds(df).items() if k == NUMERIC]
     schema = "col_a string, col_b string, r double"
     if len(numeric) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    cells = F.array(*[value(df, c).cast("double") for c in numeric])
-    firsts = df.select(cells.alias("v")).select("v", F.posexplode("v").alias("a", "x")).filter("x is not null")
-    rest = F.expr("slice(v, a + 1, size(v))")  # the column itself, too: its own pair says whether it varies
-    pairs = firsts.select("a", "x", F.posexplode(rest).alias("d", "y")).filter("y is not null")
-    got = {(r.a, r.a + r.d): r.r for r in pairs.groupBy("a", "d").agg(pearson(F.col("x"), F.col("y")).alias("r")).collect()}
-    rows = []
-    for i, a in enumerate(numeric):
-        for j, b in enumerate(numeric):
-            r = got.get((min(i, j), max(i, j)))
-            rows.append((a, b, _rounded(1.0 if i == j and r is not None else r, digits)))
+    found = correlations(df, [value(df, c) for c in numeric])
+    rows = [(a, b, _rounded(1.0 if i == j and found[i][j] is not None else found[i][j], digits))
+            for i, a in enumerate(numeric) for j, b in enumerate(numeric)]
     return df.sparkSession.createDataFrame(rows, schema)
 
 
