@@ -174,9 +174,3 @@ def clean_files(spark: SparkSession, folder: str | list[str], out: str, steps: l
         except Exception as e:  # noqa: BLE001 - the other files go on
             report.append({"file": name, "status": "failed", "path": None, "error": str(e).splitlines()[0]})
     return report
-
-
-def write_by_file(df: DataFrame, out: str, file_column: str = "file_name") -> str:
-    """Files of one layout, cleaned together, written to one folder per source file."""
-    df.write.mode("overwrite").partitionBy(file_column).option("header", True).csv(out)
-    return out

@@ -10,9 +10,20 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names, or one in the warehouse, which all executors share too."""
-    root = spark.conf.get(_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")
-    return root.rstrip("/")
+    """The folder that the cluster names, or one in the warehouse, which all executors share too.
+
+    A warehouse left at a local folder is shared only where driver and
+    executors are one process; elsewhere it is refused.
+    """
+    root = spark.conf.get(_SETTING, None)
+    return (root or shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"), spark.conf.get("spark.master", ""))).rstrip("/")
+
+
+def shared_warehouse(folder: str, master: str) -> str:
+    one_process = master == "local" or master.startswith("local[")
+    if folder.startswith("file:") and not one_process:
+        raise ValueError(f"{_SETTING} is not set and the warehouse {folder} is a local folder: name a folder that all executors share in {_SETTING}")
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -131,3 +131,15 @@ def test_empty_join_is_saved(spark, tmp_path):
 
     joined = merge(spark.range(3), spark.range(10, 12), "id", "id")
     assert write.save_join(joined, str(tmp_path), str(tmp_path / "datasets"))["rows"] == 0
+
+
+def test_a_local_warehouse_is_no_scratch_folder_on_a_cluster(spark):
+    from millrace.sources.scratch import scratch_root, shared_warehouse
+
+    assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    for master in ("local", "local[8]"):
+        assert shared_warehouse("file:/here/spark-warehouse", master) == "file:/here/spark-warehouse"
+    assert shared_warehouse("hdfs://name/warehouse", "yarn") == "hdfs://name/warehouse"
+    for master in ("yarn", "spark://head:7077", "local-cluster[3,2,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_warehouse("file:/here/spark-warehouse", master)
