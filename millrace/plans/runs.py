@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 from typing import Any
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from ..operators import shape
 from ..reports import profile as prof
 from ..reports import quality
 from ..sources import write
-from ..sources.read import file_name, list_files, read_dataset, read_delimited, suffix
+from ..sources.read import file_name, list_files, read_by_header, read_dataset, read_delimited, suffix, with_file_name
 from ..sources.scratch import settle
 from . import models
 from .steps import run_steps
@@ -174,3 +176,46 @@ def clean_files(spark: SparkSession, folder: str | list[str], out: str, steps: l
         except Exception as e:  # noqa: BLE001 - the other files go on
             report.append({"file": name, "status": "failed", "path": None, "error": str(e).splitlines()[0]})
     return report
+
+
+def summarise_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, status, rows, cols, columns, missing, dupes, error) of every data file of a folder, and of all of them.
+
+    Status is ok, failed (with the error and no counts) or total, the row
+    without a file that adds the others up. Delimited files are read by
+    header, as many together as have the same one; each JSON file has its own
+    columns and is read by itself. A file without rows has zeros, one of blank
+    lines has failed, one of no bytes is not in Spark's listing; a folder
+    without data files gives the total row alone.
+    """
+    files = list_files(spark, folder)
+    read: list[tuple[list[str], DataFrame | Exception]] = []
+    for kind, sep in (("csv", ","), ("tsv", "\t")):
+        some = [f for f in files if suffix(f) == kind]
+        read += read_by_header(spark, some, sep) if some else []
+    for path in files:
+        if suffix(path) not in ("csv", "tsv"):
+            try:
+                read.append(([path], with_file_name(read_dataset(spark, path))))
+            except Exception as e:  # noqa: BLE001 - the other files go on
+                read.append(([path], e))
+    known, counted = [], []
+    for names, df in read:
+        failed = isinstance(df, Exception)
+        columns = None if failed else [c for c in df.columns if c != "file_name"]
+        error = str(df) if failed else None
+        known += [(file_name(unquote(f)), "failed" if failed else "ok", columns, error) for f in names]
+        if not failed:
+            counted.append(prof.file_summary(df).select("file", "rows", "missing", "dupes"))
+    listed = spark.createDataFrame(known, "file string, status string, columns array<string>, error string")
+    none = spark.createDataFrame([], "file string, rows bigint, missing bigint, dupes bigint")
+    counts = settle(reduce(lambda a, b: a.unionByName(b), counted, none), "counts")
+    ok = F.col("status") == "ok"
+    numbers = [F.when(ok, F.coalesce(c, F.lit(0))).alias(c) for c in ("rows", "missing", "dupes")]
+    each = listed.join(counts, "file", "left").select(
+        "file", "status", numbers[0], F.when(ok, F.size("columns")).cast("bigint").alias("cols"), "columns", *numbers[1:], "error")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "missing", "dupes")]
+    total = counts.agg(*sums).select(
+        F.lit(None).cast("string").alias("file"), F.lit("total").alias("status"), "rows", F.lit(None).cast("bigint").alias("cols"),
+        F.lit(None).cast("array<string>").alias("columns"), "missing", "dupes", F.lit(None).cast("string").alias("error"))
+    return each.unionByName(total)

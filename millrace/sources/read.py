@@ -112,6 +112,33 @@ def read_delimited(spark: SparkSession, path, sep: str | None = ",", infer: bool
     return cells.select(*[_as(c, types[c]).alias(n) for c, n in zip(slots, names)])
 
 
+def read_by_header(spark: SparkSession, files: list[str], sep: str | None = ",") -> list[tuple[list[str], DataFrame | Exception]]:
+    """Header files, those with one header read together: (files, table with `file_name`), or the error in place of the table.
+
+    The number of jobs follows the headers, not the files. Where files cannot
+    be read together each is read alone, so that only those at fault have an
+    error. A file without a header line is at fault.
+    """
+    found = _layouts(spark, files)
+    known = {file_name(f) for _, _, some in found for f in some}
+    out: list[tuple[list[str], DataFrame | Exception]] = [([f], ValueError("no header line")) for f in files if file_name(unquote(f)) not in known]
+    todo = list(reversed(found))
+    while todo:
+        header, open_, some = todo.pop()
+        try:
+            cells = _cells(spark, some, header, sep, open_)
+            names, slots = cells.columns, [f"c{i}" for i in range(len(cells.columns))]
+            cells = cells.toDF(*slots)
+            types = _infer(cells, slots)
+            out.append((some, with_file_name(cells.select(*[_as(c, types[c]).alias(n) for c, n in zip(slots, names)]))))
+        except Exception as e:  # noqa: BLE001 - the other files go on
+            if len(some) == 1:
+                out.append((some, e))
+            else:
+                todo += [(header, open_, [f]) for f in reversed(some)]
+    return out
+
+
 def _as(slot: str, type_name: str) -> Column:
     c = F.col(slot)
     if type_name == "bigint":
@@ -240,4 +267,6 @@ def extract_report(df: DataFrame, fmt: str, engine: str = "spark") -> DataFrame:
 
 
 def with_file_name(df: DataFrame) -> DataFrame:
-    return df.select(F.col("_metadata.file_name").alias("file_name"), *[col(c) for c in df.columns])
+    """The name of each row's file before its columns, as it is in the folder."""
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.select(name.alias("file_name"), *[col(c) for c in df.columns])

@@ -206,6 +206,34 @@ query("discover_files", """
     SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'csv' ELSE 'json' END AS kind, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 < 2""")(_discovered)
 
 
+def _folder(s, d):
+    """Orders and customers as files of two headers, an unreadable header beside them; copies of a row are in one file."""
+    folder = scratch_path(s, "folder")
+    dirty_orders(s, d).select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice").repartition("o_orderkey").write.option("header", True).csv(folder)
+    customers = table(s, d, "customer").select("c_custkey", "c_mktsegment")
+    customers.write.mode("append").option("header", True).csv(folder)
+    table(s, d, "region").select(
+        F.concat_ws(",", "r_regionkey", "r_name").alias("key,KEY")).write.mode("append").option("header", True).option("sep", "\u0002").option(
+        "quote", "\u0000").csv(folder)
+    found = runs.summarise_folder(s, folder)
+    return found.groupBy("status", F.coalesce(F.array_join("columns", ","), F.lit("")).alias("header")).agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("row_total"), F.coalesce(F.sum("missing"), F.lit(0)).alias("missing"),
+        F.coalesce(F.sum("dupes"), F.lit(0)).alias("dupes"), F.max("cols").alias("cols"), (F.count("error") > 0).alias("has_error"))
+
+
+query("folder_summary", WITH_ORDERS + """,
+    o AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_totalprice FROM dirty_orders),
+    n AS (SELECT count(*) AS r, sum((o_orderkey IS NULL)::INT + (o_custkey IS NULL)::INT + (o_orderpriority IS NULL)::INT + (o_totalprice IS NULL)::INT) AS m,
+                 count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM o)) AS u FROM o),
+    c AS (SELECT count(*) AS r, sum((c_custkey IS NULL)::INT + (c_mktsegment IS NULL)::INT) AS m,
+                 count(*) - (SELECT count(*) FROM (SELECT DISTINCT c_custkey, c_mktsegment FROM customer)) AS u FROM customer)
+    SELECT 'ok' AS status, 'o_orderkey,o_custkey,o_orderpriority,o_totalprice' AS header, r AS row_total, m::BIGINT AS missing, u AS dupes,
+           4::BIGINT AS cols, false AS has_error FROM n
+    UNION ALL SELECT 'ok', 'c_custkey,c_mktsegment', r, m::BIGINT, u, 2, false FROM c
+    UNION ALL SELECT 'failed', '', 0, 0, 0, NULL, true
+    UNION ALL SELECT 'total', '', n.r + c.r, (n.m + c.m)::BIGINT, n.u + c.u, NULL, false FROM n, c""")(_folder)
+
+
 def _save_join(s, d):
     folder = scratch_path(s, "join")
     joined = merge(join_left(s, d), join_right(s, d), "k", "k", "inner")

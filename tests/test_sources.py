@@ -143,3 +143,21 @@ def test_a_local_warehouse_is_no_scratch_folder_on_a_cluster(spark):
     for master in ("yarn", "spark://head:7077", "local-cluster[3,2,1024]", ""):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_warehouse("file:/here/spark-warehouse", master)
+
+
+def test_a_folder_is_summarised_file_by_file_and_in_total(spark, tmp_path):
+    from millrace.plans.runs import summarise_folder
+
+    for name, lines in {"a.csv": "x,y\n1,2\n1,2\n,3\n", "b b+1%.csv": "x,y\n5,6\n", "c.csv": "x,y\n", "twins.csv": "k,K\n1,2\n", "none.csv": "\n",
+                        "t.tsv": "x\tz\n1\tu\n", "d.json": '{"x": 1, "q": null}\n{"x": 1, "q": 4}\n', "other.txt": "no data"}.items():
+        (tmp_path / name).write_text(lines)
+    got = {r.file: r for r in summarise_folder(spark, str(tmp_path)).collect()}
+    assert {f: (r.status, r.rows, r.cols, r.missing, r.dupes) for f, r in got.items()} == {
+        "a.csv": ("ok", 3, 2, 1, 1), "b b+1%.csv": ("ok", 1, 2, 0, 0), "c.csv": ("ok", 0, 2, 0, 0), "t.tsv": ("ok", 1, 2, 0, 0),
+        "d.json": ("ok", 2, 2, 1, 0), "twins.csv": ("failed", None, None, None, None), "none.csv": ("failed", None, None, None, None),
+        None: ("total", 7, None, 2, 1)}
+    assert got["a.csv"].columns == ["x", "y"] and set(got["d.json"].columns) == {"x", "q"} and got["twins.csv"].error and got["none.csv"].error
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    (empty / "other.txt").write_text("no data")
+    assert [(r.status, r.rows) for r in summarise_folder(spark, str(empty)).collect()] == [("total", 0)]
