@@ -249,6 +249,20 @@ def list_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("c
     return [r.path for r in listing.select("path").orderBy("path").collect()]
 
 
+def read_folder(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ("csv", "json", "tsv")) -> dict[str, DataFrame]:
+    """The data files of a folder, those of one suffix as one table.
+
+    Columns and types follow from all files of a suffix, so that a file
+    without rows, or without a value in some column, decides nothing. The number
+    of jobs follows the headers, not the files.
+    """
+    kinds: dict[str, list[str]] = {}
+    for path in list_files(spark, folder, suffixes):
+        kinds.setdefault(suffix(path), []).append(path)
+    readers = {"csv": read_delimited, "tsv": lambda s, some: read_delimited(s, some, sep=None), "json": read_json}
+    return {kind: readers[kind](spark, some) for kind, some in kinds.items()}
+
+
 def file_name(path: str) -> str:
     return re.sub(r"^.*/", "", path)
 

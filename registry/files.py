@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.joins import merge
@@ -194,12 +196,9 @@ def _discovered(s, d):
     orders.filter("o_orderkey % 3 = 0").write.option("header", True).csv(folder)
     orders.filter("o_orderkey % 3 = 1").write.mode("append").json(folder)
     orders.filter("o_orderkey % 3 = 2").write.mode("append").parquet(folder)  # not among the suffixes looked for
-    every = None
-    for path in read.list_files(s, folder):
-        one = read.with_file_name(read.read_dataset(s, path)).select(
-            F.regexp_extract("file_name", r"\.(\w+)$", 1).alias("kind"), "o_orderkey", "o_orderstatus")
-        every = one if every is None else every.unionByName(one)
-    return every
+    found = [df.select(F.lit(kind).alias("kind"), F.col("o_orderkey").cast("bigint"), F.col("o_orderstatus").cast("string"))
+             for kind, df in read.read_folder(s, folder).items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 query("discover_files", """

@@ -161,3 +161,23 @@ def test_a_folder_is_summarised_file_by_file_and_in_total(spark, tmp_path):
     empty.mkdir()
     (empty / "other.txt").write_text("no data")
     assert [(r.status, r.rows) for r in summarise_folder(spark, str(empty)).collect()] == [("total", 0)]
+
+
+def test_files_without_rows_decide_no_types(spark, tmp_path):
+    import registry
+
+    for i, keys in enumerate(([1, 2] * 50, [3, 4, 5, 6])):  # the first task that writes has no row for a CSV file, and leaves a header alone
+        rows = spark.createDataFrame([(k, f"status {k}") for k in keys], "o_orderkey bigint, o_orderstatus string")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "orders.parquet"))
+    registry.load_all()
+    got = registry.QUERIES["discover_files"](spark, str(tmp_path))
+    assert dict(got.dtypes) == {"kind": "string", "o_orderkey": "bigint", "o_orderstatus": "string"}
+    assert sorted(map(tuple, got.where("o_orderkey > 1").collect())) == [("csv", 3, "status 3"), ("csv", 6, "status 6"), ("json", 4, "status 4")]
+    mixed = tmp_path / "mixed"
+    mixed.mkdir()
+    for name, text in {"a.csv": "x,y\n", "b.csv": "x,y\n1,u\n", "c.csv": "x,y\n2,\n", "d.tsv": "x\tz\n7\tv\n", "e.json": '{"x": null}\n', "f.json": '{\n"x": 5\n}\n', "g.txt": "no data"}.items():
+        put(mixed, name, text)
+    found = read.read_folder(spark, str(mixed))
+    assert {k: (df.dtypes, sorted(map(tuple, df.collect()), key=str)) for k, df in found.items()} == {
+        "csv": ([("x", "bigint"), ("y", "string")], [(1, "u"), (2, None)]), "tsv": ([("x", "bigint"), ("z", "string")], [(7, "v")]),
+        "json": ([("x", "bigint")], [(5,), (None,)])}
