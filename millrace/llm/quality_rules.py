@@ -1,9 +1,9 @@
 """Quality rules: an isolation forest over the statistics that rules look at.
 
 Every text gets its rule statistics in one pass. A forest of random splits is
-grown on the statistics of a bounded sample of labelled rows; the mean path
+grown on the statistics of all learnable rows, level by level; the mean path
 length of a document says how easily it is set apart from them. The threshold
-on that anomaly score is the one that rejects most of the sample's bad rows
+on that anomaly score is the one that rejects most of the bad rows among them
 while it rejects at most a stated share of the good ones.
 """
 
@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.stats import order_statistics
 from millrace.sources.scratch import settle
 
-from .texts import batch_of, labelled_sample, rows_of, texts_of
+from .texts import batch_of, held_out, learnable_labels, rows_of, texts_of
 
 _BLANKS = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -83,18 +84,21 @@ class Forest:
     usual: float
     threshold: float = 1.0
 
+    def leaves(self, tree: int, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        feature, split, left = self.feature[tree], self.split[tree], self.left[tree]
+        rows, at = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+        while True:
+            inner = feature[at] >= 0
+            if not inner.any():
+                return at
+            at = np.where(inner, left[at] + (x[rows, np.maximum(feature[at], 0)] >= split[at]), at)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Anomaly between 0 and 1: 2 to the power of minus the mean path length over the usual one."""
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for feature, split, left, length in zip(self.feature, self.split, self.left, self.length):
-            at = np.zeros(len(x), dtype=np.int64)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                at = np.where(inner, left[at] + (x[rows, np.maximum(feature[at], 0)] >= split[at]), at)
-            total += length[at]
+        for tree, length in enumerate(self.length):
+            total += length[self.leaves(tree, x)]
         return 2.0 ** (-total / max(len(self.feature), 1) / self.usual)
 
 
@@ -103,67 +107,142 @@ def _usual(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow_forest(x: np.ndarray, seen: np.ndarray, trees: int, rows: int, seed: int) -> Forest:
-    """Trees over the rows of x. Half of the splits fall between the rows of a
-    node, half anywhere in the node's part of the box around `seen`, so that
-    room where no row of x lies is cut off early too."""
+_RANGE = [*(f"low{i}" for i in range(8)), *(f"high{i}" for i in range(8))]  # of the eight features
+_NODES = pa.schema([("slot", pa.int64()), ("n", pa.int64()), *((c, pa.float64()) for c in _RANGE)])
+
+
+def _counts_of(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in COUNTS + _MORE])
+
+
+def node_ranges(rows: DataFrame, forest: Forest, nodes: list[tuple[int, int]]) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """By place in `nodes`, a list of leaves (tree, node): the number of rows there and their least and largest features.
+
+    One scan over all rows; a task gives a row for each leaf it has met.
+    """
+    slots = [np.full(len(f), -1) for f in forest.feature]
+    for slot, (tree, node) in enumerate(nodes):
+        slots[tree][node] = slot
+    shared = rows.sparkSession.sparkContext.broadcast((forest, slots, len(nodes)))
+
+    def run(batches):
+        forest, slots, width = shared.value
+        n, low, high = np.zeros(width, dtype=np.int64), np.full((width, 8), np.inf), np.full((width, 8), -np.inf)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = features(_counts_of(batch))
+            for tree, own in enumerate(slots):
+                at = own[forest.leaves(tree, x)]
+                order = np.argsort(at, kind="stable")
+                at, part = at[order], x[order]
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                met, open_ = at[starts], at[starts] >= 0
+                met = met[open_]
+                n[met] += np.diff(np.r_[starts, len(at)])[open_]
+                low[met] = np.minimum(low[met], np.minimum.reduceat(part, starts, axis=0)[open_])
+                high[met] = np.maximum(high[met], np.maximum.reduceat(part, starts, axis=0)[open_])
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), *map(pa.array, low[met].T), *map(pa.array, high[met].T)], schema=_NODES)
+
+    ddl = "slot long, n long, " + ", ".join(f"{c} double" for c in _RANGE)
+    ends = [(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _RANGE]
+    found = rows.select(*COUNTS, *_MORE).mapInArrow(run, ddl).groupBy("slot").agg(F.sum("n").alias("n"), *ends).collect()  # a row per leaf
+    shared.unpersist()
+    return {r.slot: (r.n, np.array(r[2:10]), np.array(r[10:18])) for r in found}
+
+
+def grow_forest(rows: DataFrame, low: np.ndarray, high: np.ndarray, trees: int, depth_limit: int, seed: int) -> Forest:
+    """Trees over all rows, grown level by level: one scan for each level of all trees.
+
+    Half of the splits fall between the rows of a node, half anywhere in the
+    node's part of the box from `low` to `high`, so that room where no row lies
+    is cut off early too. At most trees * 2 ** depth_limit leaves; a leaf is as
+    deep as it would be if its rows were told apart too.
+    """
     rng = np.random.default_rng(seed)
-    rows = min(rows, len(x))
-    depth_limit = 2 * math.ceil(math.log2(max(rows, 2)))
-    made = Forest([], [], [], [], _usual(rows) or 1.0)
-    for _ in range(trees if rows else 0):
-        feature, split, left, length = [-1], [0.0], [0], [0.0]
-        todo = [(0, x[rng.choice(len(x), rows, replace=False)], 0, seen.min(axis=0), seen.max(axis=0))]
-        while todo:
-            node, part, depth, low, high = todo.pop()
-            if rng.random() < 0.5 and len(part):
-                start, end = part.min(axis=0), part.max(axis=0)
-            else:
-                start, end = low, high
-            wide = np.flatnonzero(end > start)
-            if depth >= depth_limit or len(part) < 2 or not len(wide):
-                length[node] = depth + _usual(len(part))
+    grown = [([-1], [0.0], [0], [0.0]) for _ in range(trees)]
+    open_ = [(t, 0, low, high) for t in range(trees)]
+    made = Forest([], [], [], [], 1.0)
+    for depth in range(depth_limit + 1):
+        made = Forest(*([np.array(own) for own in kind] for kind in zip(*grown)), made.usual)
+        found = node_ranges(rows, made, [(t, node) for t, node, _, _ in open_])
+        if not depth:
+            made.usual = _usual(found[0][0] if found else 0) or 1.0
+        todo = []
+        for slot, (t, node, start, end) in enumerate(open_):
+            n, least, most = found.get(slot, (0, start, end))
+            inside = (least, most) if rng.random() < 0.5 else (start, end)
+            wide = np.flatnonzero(inside[1] > inside[0])
+            feature, split, left, length = grown[t]
+            if depth == depth_limit or n < 2 or not len(wide):
+                length[node] = depth + _usual(n)
                 continue
             f = int(rng.choice(wide))
-            at = rng.uniform(start[f], end[f])
-            below = part[:, f] < at
+            at = rng.uniform(inside[0][f], inside[1][f])
             feature[node], split[node], left[node] = f, at, len(feature)
-            inner_high, inner_low = high.copy(), low.copy()
+            inner_high, inner_low = end.copy(), start.copy()
             inner_high[f] = inner_low[f] = at
-            todo += [(len(feature), part[below], depth + 1, low, inner_high), (len(feature) + 1, part[~below], depth + 1, inner_low, high)]
+            todo += [(t, len(feature), start, inner_high), (t, len(feature) + 1, inner_low, end)]
             feature += [-1, -1]
             split += [0.0, 0.0]
             left += [0, 0]
             length += [0.0, 0.0]
-        for kept, own in zip((made.feature, made.split, made.left, made.length), (feature, split, left, length)):
-            kept.append(np.array(own))
-    return made
+        open_ = todo
+        if not open_:
+            break
+    return Forest(*([np.array(own) for own in kind] for kind in zip(*grown)), made.usual)
 
 
-def calibrated_threshold(scores: np.ndarray, good: np.ndarray, false_share: float) -> float:
-    """The lowest score to reject at, so that at most `false_share` of the good rows have it or more; 1.01 (rejects none) without bad rows."""
-    if good.all() or not len(good):
+def calibrated_threshold(scores: DataFrame, false_share: float) -> float:
+    """The lowest of `anomaly` to reject at, so that at most `false_share` of the rows of quality 1 have it or more; 1.01 (rejects none) without bad rows.
+
+    Exact over all rows.
+    """
+    good, bad = scores.where("quality = 1"), scores.where("quality = 0")
+    n, n_bad = scores.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
+    if not n_bad:
         return 1.01
-    ranked = np.sort(scores[good])[::-1] if good.any() else np.array([])
-    allowed = int(len(ranked) * false_share)
-    floor = ranked[allowed] if allowed < len(ranked) else -1.0
-    above = scores[~good & (scores > floor)] if len(ranked) else scores[~good]
-    return float((above.min() + floor) / 2 + 1e-9) if len(above) else 1.01
+    floor = -1.0
+    if n > (allowed := int(n * false_share)):
+        rank = ("anomaly", n - 1 - allowed)
+        floor = order_statistics(good, {"anomaly": n}, {rank})[rank]
+    least = bad.where(F.col("anomaly") > F.lit(floor)).agg(F.min("anomaly")).first()[0]
+    return 1.01 if least is None else float((least + floor) / 2 + 1e-9)
+
 
+def learnable_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, the counts, quality) of every learnable row; of several texts with one id that of the smallest counts."""
+    texts = texts_of(docs).where(~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    stats = rule_statistics(texts).groupBy("doc_id").agg(F.min(F.struct(*COUNTS, *_MORE)).alias("s")).select("doc_id", "s.*")
+    return settle(stats.join(learnable_labels(labels), "doc_id"), "learnt")
 
-def fit_forest(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, max_chars: int = 50_000, trees: int = 100,
-               tree_rows: int = 256, false_share: float = 0.005, seed: int = 7) -> Forest:
-    """Grown and calibrated on at most `sample_rows` learnable rows of each label.
+
+def _with_anomaly(stats: DataFrame, forest: Forest) -> DataFrame:
+    shared = stats.sparkSession.sparkContext.broadcast(forest)  # trees * 2 ** (depth_limit + 1) nodes at most
+
+    @F.arrow_udf("double")
+    def anomaly(counts: pa.Array) -> pa.Array:
+        columns = [c.to_numpy(zero_copy_only=False) for c in counts.flatten()]
+        return pa.array(shared.value.score(features(np.column_stack(columns))), pa.float64())
+
+    return stats.withColumn("anomaly", anomaly(F.struct(*COUNTS, *_MORE)))
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, trees: int = 100, depth_limit: int = 8, false_share: float = 0.005, seed: int = 7) -> Forest:
+    """Grown and calibrated on every learnable row, whatever its length.
 
     Trees are grown on rows labelled good, so that whatever is unlike them has
     short paths. Without labelled rows the forest rejects nothing.
     """
-    sample = settle(labelled_sample(docs, labels, sample_rows, max_chars), "sample")  # a row per id, two times sample_rows at most
-    stats = rule_statistics(sample).join(F.broadcast(sample.select("doc_id", "quality")), "doc_id")
-    got = np.array(sorted(tuple(r) for r in stats.select("doc_id", "quality", *COUNTS, *_MORE).collect())).reshape(-1, 2 + len(COUNTS + _MORE))
-    x, good = features(got[:, 2:]), got[:, 1] == 1
-    forest = grow_forest(x[good], x, trees, tree_rows, seed)
-    forest.threshold = calibrated_threshold(forest.score(x), good, false_share)
+    stats = learnable_statistics(docs, labels)
+    whole = node_ranges(stats, Forest([np.array([-1])], [np.zeros(1)], [np.zeros(1, dtype=np.int64)], [np.zeros(1)], 1.0), [(0, 0)])
+    if not whole:
+        return Forest([], [], [], [], 1.0, 1.01)
+    _, low, high = whole[0]
+    forest = grow_forest(stats.where("quality = 1"), low, high, trees, depth_limit, seed)
+    scores = settle(_with_anomaly(stats, forest).select("quality", "anomaly"), "scores")
+    forest.threshold = calibrated_threshold(scores, false_share)
     return forest
 
 
@@ -174,14 +253,7 @@ def apply_rules(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_co
     null; repeated rows are judged each; an empty table gives no rows; other
     columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(forest)  # trees * 2 * tree_rows nodes at most
-
-    @F.arrow_udf("double")
-    def anomaly(counts: pa.Array) -> pa.Array:
-        columns = [c.to_numpy(zero_copy_only=False) for c in counts.flatten()]
-        return pa.array(shared.value.score(features(np.column_stack(columns))), pa.float64())
-
     stats = rule_statistics(docs, id_col, text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = stats.withColumn("anomaly", anomaly(F.struct(*COUNTS, *_MORE))).withColumn("base_failed", failed)
+    scored = _with_anomaly(stats, forest).withColumn("base_failed", failed)
     return scored.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("anomaly") < forest.threshold)).alias("kept"), "anomaly")

@@ -35,6 +35,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 == 2
 
 
+def learnable_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality): one row for each id outside the held-out fold; ids with both labels are left out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    known = known.where(F.col("doc_id").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
+    known = known.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    return known.where("quality = other").drop("other")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, max_chars: int) -> DataFrame:
     """(doc_id, text, quality) of at most `rows` learnable documents per label, in an order that a hash gives.
 
@@ -44,10 +52,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, max_chars: in
     id one is taken, by hash. Texts over `max_chars` are left out of the sample
     (not out of any result).
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    known = known.where(F.col("doc_id").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
-    known = known.where("quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
-    known = known.where("quality = other").drop("other")
+    known = learnable_labels(labels)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.where("quality = 1").orderBy(*order).limit(rows).union(known.where("quality = 0").orderBy(*order).limit(rows))
     found = texts_of(docs).where(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id")

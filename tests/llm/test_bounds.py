@@ -40,3 +40,29 @@ def test_ids_are_those_of_the_agenda(monkeypatch):
     other = sentencepieces.PieceEncoder(public_tokenizers.path("piece_bpe_32k.model"))
     ids, replaced = other.encode_batch(["some plain words", ""])
     assert ids == whole[0] and whole[1] == [0, 0] and replaced == [3, 0]  # the check puts each word right, and says so
+
+
+def test_rules_are_learnt_from_every_row(spark):
+    """Leaf counts are those of all learnable rows, and the threshold is the exact one."""
+    from millrace.llm import quality_rules as rules
+
+    docs = spark.createDataFrame([(i, "plain words " * (30 + i % 50) + ("# ! " * (i % 40) if i % 10 == 0 else "") + "x" * (60_000 if i == 1 else 1)) for i in range(9000)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 <> 0) AS quality")
+    stats = rules.learnable_statistics(docs, labels)
+    learnable = [i for i in range(9000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert stats.count() == len(learnable) > 6000 and stats.where("word_chars > 50000").count() == 1
+    forest = rules.fit_forest(docs, labels, trees=5, depth_limit=4)
+    table = stats.toPandas()
+    x, good = rules.features(table[list(rules.COUNTS + rules._MORE)].to_numpy()), table.quality.to_numpy() == 1
+    assert forest.usual == rules._usual(int(good.sum()))
+    for tree in range(5):
+        feature, left, depth = forest.feature[tree], forest.left[tree], {0: 0}
+        for node in range(len(feature)):
+            if feature[node] >= 0:
+                depth[left[node]] = depth[left[node] + 1] = depth[node] + 1
+        held = np.bincount(forest.leaves(tree, x[good]), minlength=len(feature))
+        assert all(forest.length[tree][i] == depth[i] + rules._usual(int(held[i])) for i in depth if feature[i] < 0)
+    scores = forest.score(x)
+    ranked = np.sort(scores[good])[::-1]
+    floor = ranked[int(good.sum() * 0.005)]
+    assert forest.threshold == (scores[~good & (scores > floor)].min() + floor) / 2 + 1e-9
