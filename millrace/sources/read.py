@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions import convert
 from ..functions.columns import col, nan_to_null, refuse_case_twins
 from ..functions.stats import measure
-from .records import is_one_value, one_per_line, text_lines
+from .records import is_one_value, one_per_line, text_lines, whole_values
 from .scratch import scratch_path
 
 # Cell texts that stand for a missing value.
@@ -25,6 +25,7 @@ MISSING_TEXTS = [
 ]
 _DELIMITERS = (",", "\t", ";", "|")
 _UNEVEN = "_uneven_row"
+_SMALL_FILE = 32 << 20  # bytes that a task may hold as one text
 
 
 def _split_header(line: str, sep: str, quote: str = '"') -> list[str]:
@@ -199,7 +200,10 @@ def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = Non
     plain, other = ([unquote(r.file) for r in kinds if r.plain == is_plain] for is_plain in (True, False))
     if other:
         made = scratch_path(spark, "values")
-        one_per_line(text_lines(spark, other)).write.text(made)
+        # Small files are each told apart as one text, without a shuffle; those that are not all values, and large ones, by lines.
+        left = whole_values(spark, other if plain else path, _SMALL_FILE, made)
+        if left:
+            one_per_line(text_lines(spark, [unquote(f) for f in left])).write.mode("append").text(made)
         plain.append(made)
     found = _read_json(spark, plain or path, True, schema)
     if found.columns == ["_corrupt_record"]:  # Spark does not answer with nothing but broken lines
@@ -209,9 +213,26 @@ def read_json(spark: SparkSession, path, schema=None, by_line: bool | None = Non
 
 def _read_json(spark: SparkSession, path, by_line: bool, schema) -> DataFrame:
     reader = spark.read.option("multiLine", not by_line)
+    schema = schema or (None if by_line else _document_schema(spark, path))
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def _document_schema(spark: SparkSession, path) -> T.StructType | None:
+    """The schema that Spark infers for files of one document each.
+
+    Its own pass puts all files of 128 MB together into one task, so that
+    thousands of small ones queue up there. They are read as texts here, which
+    are dealt out file by file. Files over 32 MB, and those with a text that is
+    not UTF-8 or broken, are left to Spark's pass (None).
+    """
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    if largest is None or largest > _SMALL_FILE:
+        return None
+    texts = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    found = spark.read.json(texts.rdd.map(lambda r: r.value)).schema
+    return None if not found or "_corrupt_record" in found.names else found
+
+
 def suffix(path: str) -> str:
     return path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in os.path.basename(path.rstrip("/")) else ""
 

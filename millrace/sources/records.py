@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import settle
+
 _NO_TEXT = r'"(\\.|[^"\\])*"'
 
 
@@ -96,7 +99,7 @@ def spans(lines: DataFrame) -> DataFrame:
 _DECODER = json.JSONDecoder(strict=False)
 
 
-def _values(text: str) -> tuple[list[str], str]:
+def _values(text: str, decoder: json.JSONDecoder = _DECODER) -> tuple[list[str], str]:
     """The objects and arrays that a text begins with, in any white space and commas, and what is left."""
     found, at = [], 0
     while at < len(text):
@@ -106,7 +109,7 @@ def _values(text: str) -> tuple[list[str], str]:
         if text[at] not in "{[":
             break
         try:
-            _, end = _DECODER.raw_decode(text, at)
+            _, end = decoder.raw_decode(text, at)
         except (ValueError, RecursionError):
             break
         found.append(text[at:end])
@@ -133,3 +136,39 @@ def one_per_line(lines: DataFrame) -> DataFrame:
     made = found.select(F.when(is_one_value(joined), F.array(joined)).otherwise(_pieces("texts")).alias("v"))
     made = made.select(F.explode("v").alias("value"))
     return made.select(F.regexp_replace("value", r"[\r\n]+", " ").alias("value")).filter(F.trim("value") != "")
+
+
+_STRICT = json.JSONDecoder()
+
+
+def _all_values(text: str) -> list[str] | None:
+    """The values of a text, or the elements of the one array that it is; None where there is anything else.
+
+    As the lines of the text would give them: a string that goes over a line's end is not taken.
+    """
+    found, left = _values(text, _STRICT)
+    if left:
+        return None
+    if len(found) == 1 and found[0].startswith("["):
+        found, left = _values(found[0][1:-1], _STRICT)
+        if left:
+            return None
+    return found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _whole(texts: pd.Series) -> pd.Series:
+    return texts.map(_all_values)
+
+
+def whole_values(spark: SparkSession, path, most: int, out: str) -> list[str]:
+    """Write the values of files of up to `most` bytes, one to a line; the files (as `_metadata` names them) that are larger or hold anything else come back."""
+    sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length")
+    small, large = ([r.file for r in sizes.where(test).collect()] for test in (F.col("length") <= most, F.col("length") > most))  # one row per file
+    if not small:
+        return large
+    texts = spark.read.text([unquote(f) for f in small] if large else path, wholetext=True)
+    texts = texts.select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    made = settle(texts.select("file", _whole("value").alias("v")), "texts")
+    made.select(F.explode("v").alias("value")).select(F.regexp_replace("value", r"[\r\n]+", " ").alias("value")).write.text(out)
+    return large + [r.file for r in made.where("v IS NULL").select("file").collect()]

@@ -62,3 +62,17 @@ def test_a_file_over_many_blocks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_small_documents_are_read_file_by_file(spark, tmp_path, monkeypatch):
+    """Neither their schema nor their values put all files into one task or shuffle their lines."""
+    files = {f"f{i}": json.dumps([{"a": i, "t": "x\u00e9]"}, {"a": -i, "b": [{"c": 1.5}]}], indent=1) for i in range(12)}
+    folder = put(tmp_path / "documents", **files)
+    want = sorted([(i, "x\u00e9]") for i in range(12)] + [(-i, None) for i in range(12)], key=str)
+    assert read._document_schema(spark, folder) == spark.read.option("multiLine", True).json(folder).schema
+    monkeypatch.setattr(read, "one_per_line", None)  # not needed
+    assert sorted(((r.a, r.t) for r in read.read_json(spark, folder).collect()), key=str) == want
+    assert sorted(((r.a, r.t) for r in read.read_dataset(spark, folder, "json", use_spark=True).collect()), key=str) == want
+    assert read._document_schema(spark, put(tmp_path / "bad", f="{\n", g='{"a": 1}')) is None
+    monkeypatch.setattr(read, "_SMALL_FILE", 10)
+    assert read._document_schema(spark, folder) is None
