@@ -76,3 +76,14 @@ def test_small_documents_are_read_file_by_file(spark, tmp_path, monkeypatch):
     assert read._document_schema(spark, put(tmp_path / "bad", f="{\n", g='{"a": 1}')) is None
     monkeypatch.setattr(read, "_SMALL_FILE", 10)
     assert read._document_schema(spark, folder) is None
+
+
+def test_values_of_large_files_are_found_without_a_shuffle_of_their_lines(spark, tmp_path):
+    """Two scans; over the end of a block only what stands there is shuffled, and strings of any length are one."""
+    folder = put(tmp_path / "large", f="".join(json.dumps({"a": i}, indent=1) + ' {"a": -1}\n' for i in range(2000)), g='[\n{"a": "' + "x" * 100_000 + '{"}\n]')
+    lines = text_lines(spark, folder)
+    plan = spans(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and plan.count("Relation") == 2
+    found = spans(lines).where("closed").selectExpr("count(*) AS n", "max(size(texts)) AS most", "sum(size(texts)) AS texts").first()
+    assert (found.n, found.most, found.texts) == (2003, 3, 2000 * 3 + 3)
+    assert read.read_json(spark, folder, schema="a string").where("a = '-1'").count() == 2000
