@@ -176,18 +176,19 @@ def run_steps(df: DataFrame, steps: list[dict], metrics: bool = False) -> Result
 
 def fit_steps(df: DataFrame, steps: list[dict]) -> list[dict]:
     """The steps with everything they measure on this table, to run them on other rows."""
-    fitted = []
+    fitted, unsettled = [], False
     for written in steps:
         name, config = describe_step(written)
         if name not in STEPS:
             continue
         if name in ("fill_missing", "fill_by_type"):
             config = {**config, "only_missing": False}
-        if STEPS[name].fit and any(STEPS[f["name"]].moves_rows(f["config"]) for f in fitted):
-            df = settle(df)
+        if STEPS[name].fit and unsettled:  # once for each shuffle; the steps behind it are on single rows
+            df, unsettled = settle(df), False
         state = fit_step(df, name, config)
         fitted.append({"name": name, "config": config, "fitted": state})
         df = apply_step(df, name, config, state)
+        unsettled = unsettled or STEPS[name].moves_rows(config)
     return fitted
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.plans.steps import fit_steps
 from millrace.plans.templates import BATCH_STEPS, DEFAULT_STEPS, TEMPLATES
+from millrace.sources.scratch import settle
 from millrace.streaming.incremental import clean_new_files, follow_log, row_wise, split_at_state
 
 
@@ -71,3 +72,15 @@ def test_every_template_can_run_incrementally(spark, steps):
     df = spark.createDataFrame([(1, 2.0, "a"), (2, None, "b")], "id int, amount double, level string")
     before, after = split_at_state(fit_steps(df, steps))
     assert before[-1]["name"] == "drop_duplicates" and row_wise(after)
+
+
+def test_fitting_writes_the_table_once_for_each_shuffle(spark, monkeypatch):
+    from millrace.plans import steps as plans
+
+    written = []
+    monkeypatch.setattr(plans, "settle", lambda df: written.append(df.columns) or settle(df))
+    df = spark.createDataFrame([(i % 30, float(i % 30) if i % 3 else None, "x") for i in range(60)], "k int, v double, t string")
+    fitted = fit_steps(df, TEMPLATES["ml_features"]["steps"])
+    assert len(written) == 1 and [f["name"] for f in fitted] == [s["type"] for s in TEMPLATES["ml_features"]["steps"]]
+    again = fit_steps(df, [*TEMPLATES["ml_features"]["steps"][:4], {"type": "drop_duplicates", "config": {"subset": ["k"]}}, {"type": "normalize", "config": {}}])
+    assert len(written) == 3 and again[:4] == fitted[:4]
